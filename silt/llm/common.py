@@ -34,6 +34,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # else shuffle files of finished steps stay until the driver's heap fills
     return spark.read.schema(df.schema).parquet(path)
 
 
