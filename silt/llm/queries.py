@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substrings
+from . import packing, simhash, substrings
 from .common import table
 
 
+def tokenizer() -> dict[str, str]:
+    """The public tokenizer files that the queries use."""
+    import public_tokenizers as files
+
+    return {"tokenizer_path": files.path("byte_bpe_50k.json"), "ranks_path": files.path("byte_bpe_50k.tiktoken"), "pattern": files.PATTERN}
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), **tokenizer()).drop("ids")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept of every document, as a digest."""
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -23,6 +35,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op9_simhash": op9_simhash,
 }
