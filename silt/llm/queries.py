@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings
+from . import decontaminate, packing, secrets, simhash, substrings
 from .common import table
 
 
@@ -29,6 +29,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item that a document holds within the error budget."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and list of the secret spans of every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.sha2(secrets.joined(secrets.KINDS[:3]), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.joined().alias("spans"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -37,6 +50,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_secret_scan": op6_secret_scan,
     "op9_simhash": op9_simhash,
 }
 
