@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, simhash, substrings
+from . import decontaminate, packing, quality, secrets, simhash, substrings
 from .common import table
+from .labelled import fold
 
 
 def tokenizer() -> dict[str, str]:
@@ -42,6 +43,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.joined().alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; the fold of remainder 0 takes no part in the fit."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    held_out = fold("doc_id", quality.FOLDS) == quality.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
 }
 
