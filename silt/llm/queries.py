@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, secrets, simhash, substrings
+from . import decontaminate, packing, quality, secrets, simhash, substrings, toxicity
 from .common import table
 from .labelled import fold
 
@@ -51,6 +51,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; the fold of remainder 2 takes no part in the fit."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = fold("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
 }
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (a longer single text is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -78,8 +78,8 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def split(texts: pa.Array, a: int = 0, b: int | None = None, lower: bool = False) -> Words:
-    """Words of rows a..b; empty texts have none."""
+def split(texts: pa.Array, a: int = 0, b: int | None = None, lower: bool = False, breaks: np.ndarray = _SPACE) -> Words:
+    """Words of rows a..b, parted by the bytes that ``breaks`` marks; empty texts have none."""
     b = len(texts) if b is None else b
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset + a : texts.offset + b + 1].astype(np.int64)
     body = texts.buffers()[2]
@@ -87,7 +87,7 @@ def split(texts: pa.Array, a: int = 0, b: int | None = None, lower: bool = False
     if lower:
         data = lower_ascii(data)
     offsets = offsets - offsets[0]
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], solid[:-1])) if len(data) else solid
