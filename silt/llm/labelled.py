@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -28,6 +28,14 @@ def sample(labels: DataFrame, id_col: str, label_col: str, train: Column, per_cl
     return materialize(some[0].unionByName(some[1]), "labelled"), counts
 
 
+def within(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, chars: int) -> DataFrame:
+    """The chosen rows, in order of hash, until each class has ``chars`` characters of text."""
+    sizes = docs.select(F.col(id_col).alias("id"), F.length(text_col).cast("long").alias("n")).join(F.broadcast(chosen), "id")
+    per = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = materialize(sizes, "labelled-sizes").withColumn("sum", F.sum("n").over(per)).where((F.col("sum") <= chars) | F.col("sum").isNull())
+    return materialize(kept.select("id", "y"), "labelled")
+
+
 def with_labels(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(y, text) of the chosen rows, whose number is bounded, so they are broadcast."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

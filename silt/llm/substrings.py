@@ -18,7 +18,7 @@ Three Spark rounds use the names:
 3. Candidates whose hash occurs twice are joined back; their words are repeated.
 
 The symbols that a window's words alone determine are tracked through the rounds; its
-anchor is the one of least hash among them. So a window that occurs twice has an anchor
+anchor is the few neighbours of least hash among them. So a window that occurs twice has an anchor
 that occurs twice, or is a candidate outright: no repeat is missed, whatever the text.
 """
 
@@ -39,6 +39,8 @@ WINDOW = 35
 #: Pair rounds before the anchors are taken, and the words an anchor may have.
 ANCHOR_ROUNDS = 4
 ANCHOR_WORDS = 14
+#: Neighbouring symbols named together as an anchor (fewer where a window has fewer).
+ANCHOR_SYMBOLS = 3
 #: Further pair rounds, and after how many of them long symbols are taken each time.
 LONG_ROUNDS = 40
 LONG_STEP = 4
@@ -86,9 +88,10 @@ def _pair_round(s: Symbols, salt: int, n_words: int, cap: int | None) -> tuple[S
 
 
 class Parse(NamedTuple):
-    level: Symbols  # of the anchors
+    anchor_name: np.ndarray
+    anchor_doc: np.ndarray
     window: np.ndarray  # starts of the windows that have an anchor
-    anchor: np.ndarray  # its index in level, for each of them
+    anchor: np.ndarray  # its index, for each of them
     bare: np.ndarray  # starts of the windows without
     long_name: np.ndarray
     long_check: np.ndarray
@@ -103,22 +106,38 @@ def starts_of_windows(w: Words, width: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def _least(name: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The leftmost index of the least hash of a name within left..right, for each pair."""
-    if not len(left):
-        return left
-    order = mix(name, 61)
+def _least(order: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The leftmost index of the least value of ``order`` within left..right, for each pair."""
     new = np.ones(len(left), bool)
     new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
     at, end = left[new], right[new]
     best, least = at.copy(), order[at]
-    for d in range(1, int((end - at).max()) + 1):
+    for d in range(1, int((end - at).max(initial=0)) + 1):
         i = np.minimum(at + d, end)
         less = order[i] < least
         best[less], least[less] = i[less], order[i][less]
     return best[np.cumsum(new) - 1]
 
 
+def _anchors(name: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names and first symbols of the anchors, and each window's anchor among them."""
+    size = np.minimum(right - left + 1, ANCHOR_SYMBOLS)
+    code = np.zeros(len(left), np.int64)
+    joined, names = name, {}
+    for k in range(1, ANCHOR_SYMBOLS + 1):
+        if k > 1:
+            joined = mix(joined[:-1] * _U(0xD6E8FEB86659FD93) + mix(name[k - 1 :], 53), 59)
+        names[k], some = joined, size == k
+        if some.any():
+            code[some] = _least(mix(joined, 61), left[some], right[some] - k + 1) * (ANCHOR_SYMBOLS + 1) + k
+    own, which = np.unique(code, return_inverse=True)
+    at, k = np.divmod(own, ANCHOR_SYMBOLS + 1)
+    out = np.zeros(len(own), _U)
+    for x in names:
+        out[k == x] = names[x][at[k == x]]
+    return out, at, which
+
+
 def parse(w: Words, h: np.ndarray, width: int = WINDOW) -> Parse:
     """Anchors of all windows, and long symbols, of some texts' words with hashes h.
 
@@ -141,7 +160,8 @@ def parse(w: Words, h: np.ndarray, width: int = WINDOW) -> Parse:
         gone = left > right
         bare.append(p[gone])
         p, left, right = p[~gone], index[left[~gone]], index[right[~gone]]
-    level, anchor = s, _least(s.name, left, right)
+    anchor_name, at, anchor = _anchors(s.name, left, right)
+    anchor_doc = s.doc[at]
     sums = np.zeros(n + 1, _U)
     odd = 0xA0761D6478BD642F
     np.cumsum(mix(h, 29) * powers(odd, n), out=sums[1:])
@@ -162,7 +182,7 @@ def parse(w: Words, h: np.ndarray, width: int = WINDOW) -> Parse:
             if before == len(s.name) and (np.diff(s.doc) != 0).all():
                 break
     cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return Parse(level, p, anchor, cat(bare, np.int64), cat(names, _U), cat(checks, _U), cat(starts, np.int64), cat(ends, np.int64))
+    return Parse(anchor_name, anchor_doc, p, anchor, cat(bare, np.int64), cat(names, _U), cat(checks, _U), cat(starts, np.int64), cat(ends, np.int64))
 
 
 def _symbols_of(width: int):
@@ -174,10 +194,9 @@ def _symbols_of(width: int):
                 if not len(w.start):
                     continue
                 x = parse(w, hashes(w), width)
-                own = np.unique(x.anchor)
-                name = np.concatenate((x.level.name[own], x.long_name)).view(np.int64)
-                check = np.concatenate((np.zeros(len(own), _U), x.long_check)).view(np.int64)
-                doc = np.concatenate((x.level.doc[own], w.doc[x.long_start]))
+                name = np.concatenate((x.anchor_name, x.long_name)).view(np.int64)
+                check = np.concatenate((np.zeros(len(x.anchor_name), _U), x.long_check)).view(np.int64)
+                doc = np.concatenate((x.anchor_doc, w.doc[x.long_start]))
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(check), pa.array(rid[a:b][doc])], names=["name", "check", "rid"])
 
     return run
@@ -230,7 +249,7 @@ def _candidates_of(width: int):
                     base = w.first[doc]
                     none = pa.nulls(len(s), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(rid[a:b][doc]), pa.array(rid2[a:b][doc]), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32)), none, none], names=["rid", "rid2", "s", "e", "h1", "h2"])
-                again = _among(x.level.name, x.level.doc, known.slice(a, b - a))
+                again = _among(x.anchor_name, x.anchor_doc, known.slice(a, b - a))
                 p = np.sort(np.concatenate((x.window[again[x.anchor]], x.bare)))
                 p = p[~_covered(n, x.long_start[lent], x.long_end[lent] - width + 1)[p]]
                 if len(p):
@@ -283,11 +302,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.col("name").bitwiseXOR(F.col("check"))
     known = symbols.join(twice, ["name", "check"]).groupBy("rid")
     known = known.agg(F.collect_set(key).alias("known"), F.collect_set(F.when((F.col("host") != F.col("rid")) & (F.col("check") != 0), key)).alias("elsewhere"))
+    known = materialize(known, "substr-known")
 
     found = rows.join(known, "rid", "left").select("rid", "rid2", "text", "known", "elsewhere").mapInArrow(_candidates_of(window), _FOUND)
     found = materialize(found, "substr-found")
     open_ = found.where("h1 is not null")
     again = materialize(open_.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substr-again")
     hits = open_.join(again, ["h1", "h2"]).select("rid", "rid2", "s", "e").unionByName(found.where("h1 is null").select("rid", "rid2", "s", "e"))
-    spans = hits.groupBy("rid", "rid2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = materialize(hits.groupBy("rid", "rid2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "substr-spans")
     return rows.join(spans, ["rid", "rid2"], "left").select("id", "text", "spans").mapInArrow(_kept, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)

@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh
-from .labelled import SAMPLE_PER_CLASS, fold, sample, with_labels
+from .labelled import fold, sample, with_labels, within
 from .words import as_utf8, hashes, mix, slices, split
 
 FOLDS, HELD_OUT = 4, 2
+#: Labelled rows and characters of each class in the fit, at most.
+SAMPLE_PER_CLASS = 3000
+SAMPLE_CHARS = 12_000_000
 CUT = 0.3
 BUCKETS = 1 << 16
 #: The tables: leading bytes of a word that each hashes (0: all), and a salt.
@@ -35,7 +38,7 @@ DIMENSIONS = 8
 WIDTHS = {1: 4, 2: 4, 3: 4}
 #: Largest responses kept of each filter.
 TOP = 3
-EPOCHS = 8
+EPOCHS = 12
 RATE = 0.02
 #: Texts of each class that a language needs for a threshold of its own.
 LANGUAGE_ROWS = 20
@@ -71,7 +74,7 @@ def tokens(texts: pa.Array, a: int, b: int) -> Tokens:
     votes = np.stack([np.bincount(w.doc, np.isin(h, own), b - a) for own in _FUNCTION_HASHES])
     language = np.where(votes.max(axis=0) > 0, votes.argmax(axis=0), -1)
     by_size = {size: hashes(w._replace(end=np.minimum(w.end, w.start + size))) if size else h for size, _ in TABLES}
-    ids = np.stack([(mix(by_size[size], salt) % _U(BUCKETS)).astype(np.int64) for size, salt in TABLES])
+    ids = np.stack([(mix(by_size[size], salt) % _U(BUCKETS)).astype(np.int32) for size, salt in TABLES])
     return Tokens(ids, w.first, w.doc, language)
 
 
@@ -146,6 +149,7 @@ def fit(parts: list[Tokens], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5)
     ids = np.concatenate([p.ids for p in parts], axis=1)
     language = np.concatenate([p.language for p in parts])
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    parts.clear()  # their arrays are in ids now; the fit's memory is bounded by the sample
     rng = np.random.default_rng(seed)
     tables = _start(ids, doc, y)
     filters = {}
@@ -202,7 +206,7 @@ def fit(parts: list[Tokens], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5)
                     np.add.at(sq, bucket[w], (dv**2).mean(axis=1))
                     np.add.at(table, bucket[w], -RATE * dv / (np.sqrt(sq[bucket[w]])[:, None] + 1e-6) * 0.2)
     net = net._replace(out_bias=float(out_bias[0]))
-    raw = np.concatenate([net.raw(p) for p in parts])
+    raw = np.concatenate([net.raw(Tokens(ids[:, a:b], np.array([0, b - a]), doc[a:b] * 0, language[:1])) for a, b in zip(first[:-1], first[1:], strict=True)])
     return net._replace(cuts=_cuts(raw, y, language), slope=_slope(raw, y))
 
 
@@ -235,6 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
     bounded_batches(docs.sparkSession)
     chosen, _ = sample(labels, id_col, label_col, fold(id_col, FOLDS) != HELD_OUT, per_class)
+    chosen = within(docs, chosen, id_col, text_col, SAMPLE_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,12 +252,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = with_labels(docs, chosen, id_col, text_col).mapInArrow(run, "y int, cells binary, language long").collect()
     got.sort(key=lambda r: (r["y"], bytes(r["cells"])))
-    parts = []
+    parts, y = [], np.array([r["y"] for r in got])
     for r in got:
-        ids = np.frombuffer(bytes(r["cells"]), np.uint16).reshape(-1, len(TABLES)).T.astype(np.int64)
+        ids = np.frombuffer(bytes(r["cells"]), np.uint16).reshape(-1, len(TABLES)).T.astype(np.int32)
         n = ids.shape[1]
         parts.append(Tokens(ids, np.array([0, n]), np.zeros(n, np.int64), np.array([r["language"]])))
-    return fit(parts, np.array([r["y"] for r in got])) if parts else None
+    del got
+    return fit(parts, y) if parts else None
 
 
 def score(docs: DataFrame, model: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
