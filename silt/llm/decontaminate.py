@@ -154,6 +154,18 @@ def _search(items: tuple, error_rate: float):
     return run
 
 
+def _passes(items: DataFrame, item_id_col: str, item_text_col: str, pass_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in passes of bounded size: (item id, normalised text), none empty."""
+    fresh(items, item_id_col, item_text_col)
+    wanted = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    chars = wanted.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    passes = -(-chars // pass_chars) if chars else 0
+    for p in range(passes):
+        some = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p).collect()
+        if flat := [(r["item"], t) for r in some if (t := normalise(r["text"]))]:
+            yield flat
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -174,20 +186,12 @@ def contaminated(
     are ignored. The items are read in passes of bounded size, never all at once.
     """
     fresh(docs, id_col, text_col)
-    fresh(items, item_id_col, item_text_col)
     spark = docs.sparkSession
     bounded_batches(spark)
     id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
-    wanted = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
-    chars = wanted.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
-    passes = -(-chars // pass_chars) if chars else 0
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], f"{id_col} {id_kind}, item_id {item_kind}, distance long, start long, end long")
-    for p in range(passes):
-        some = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p).collect()
-        flat = [(r["item"], t) for r in some if (t := normalise(r["text"]))]
-        if not flat:
-            continue
+    for flat in _passes(items, item_id_col, item_text_col, pass_chars):
         texts = tuple((n, t) for n, (_, t) in enumerate(flat))
         names = F.broadcast(spark.createDataFrame([(n, i) for n, (i, _) in enumerate(flat)], f"n long, item_id {item_kind}"))
         found = rows.mapInArrow(_search(texts, error_rate), f"id {id_kind}, n long, distance long, start long, end long")
@@ -195,7 +199,28 @@ def contaminated(
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that hold an item; rows with a null id are judged too."""
-    bad = contaminated(docs.select(F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("text")), items, "_row", "text", **options)
-    return docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(bad.select("_row").distinct(), "_row", "left_anti").drop("_row")
+def clean(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    error_rate: float = ERROR_RATE,
+    pass_chars: int = PASS_CHARS,
+) -> DataFrame:
+    """``docs`` without the rows whose text holds an item; no row is joined or moved."""
+    fresh(docs, text_col)
+    bounded_batches(docs.sparkSession)
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def holds_none(texts: tuple):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(list(texts), error_rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.search(normalise(t)) for t in as_utf8(batch.column(at)).to_pylist()], pa.bool_()))
+
+        return run
+
+    for flat in _passes(items, item_id_col, item_text_col, pass_chars):
+        docs = docs.mapInArrow(holds_none(tuple(enumerate(t for _, t in flat))), schema)
+    return docs

@@ -213,6 +213,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, max_bu
     return met.where("b is not null").unionByName(_hot_links(hot, distance))
 
 
+def _rooted(own: DataFrame, distance: int, blocks: int, max_bucket: int) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint: its least id and its component."""
+    fps = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
+    roots = components(links(fps.select("fp"), distance, blocks, max_bucket))
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return materialize(rooted, "simhash-rooted")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -230,21 +238,31 @@ def near_duplicates(
     columns are ignored. Repeated rows are returned as often as they come.
     """
     own = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-docs")
-    fps = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
-    roots = components(links(fps.select("fp"), distance, blocks, max_bucket))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-rooted")
+    rooted = _rooted(own, distance, blocks, max_bucket)
     named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     classes = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
     return own.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one named by its component.
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+    blocks: int = BLOCKS,
+    max_bucket: int = MAX_BUCKET,
+) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of least id, null ids last.
 
-    Rows with a null id are kept: nothing tells which of them are one document.
+    Only keys and fingerprints are grouped; texts are moved once, to be kept or not.
     """
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    kept = classes.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return first.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    fresh(docs, id_col, text_col)
+    keyed = docs.withColumn("_row", F.xxhash64(id_col, text_col))
+    own = materialize(fingerprints(keyed.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), text_col), "_key", text_col, shingle), "simhash-docs")
+    own = own.select(F.col("id.id").alias("id"), F.col("id._row").alias("row"), "fp")
+    rooted = _rooted(own, distance, blocks, max_bucket).select("fp", "root")
+    least = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least")
+    per_fp = materialize(own.groupBy("fp").agg(least), "simhash-per-fp")
+    kept = materialize(per_fp.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row")), "simhash-kept")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
