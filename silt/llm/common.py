@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from silt.session import python_workers
+
 #: Rows in an Arrow batch sent to Python; whole long texts stay well under executor memory.
 BATCH_ROWS = 1024
 #: Makes Spark remove an execution's shuffle files when it ends.
@@ -51,10 +52,7 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     Batches stay small enough even where they hold only very long texts. On a cluster
     without a common file system, ship the package with --py-files.
     """
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+    python_workers(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
