@@ -94,7 +94,8 @@ def tail(records: DataFrame, order: list[str], n: int = TAIL) -> DataFrame:
 
 def keep_generations(files: DataFrame, n: int = GENERATIONS) -> DataFrame:
     """The newest n rotated files of each log (columns log, generation; 1 is the newest)."""
-    return files.where(F.row_number().over(Window.partitionBy("log").orderBy("generation")) <= n)
+    place = F.row_number().over(Window.partitionBy("log").orderBy("generation"))
+    return files.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def percentiles(values: DataFrame, key: list[str], value: str, shares: list[float]) -> DataFrame:

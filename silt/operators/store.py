@@ -50,8 +50,15 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_streams(spark: SparkSession, folder: str) -> DataFrame:
-    """(run_id, stream, raw) of every run in a store folder, as bytes."""
-    return read_files(spark, folder).where(F.col("name").isin("stdout", "stderr")).select(F.col("handle").alias("run_id"), F.col("name").alias("stream"), F.col("content").alias("raw"))
+    """(run_id, stream, raw) of every run in a store folder, as bytes.
+
+    Every run has both streams: the reader leaves out files without bytes.
+    """
+    files = read_files(spark, folder)
+    both = files.select("handle").distinct().withColumn("stream", F.explode(F.array(F.lit("stdout"), F.lit("stderr"))))
+    found = files.where(F.col("name").isin("stdout", "stderr")).select("handle", F.col("name").alias("stream"), "content")
+    rows = both.join(found, ["handle", "stream"], "left")
+    return rows.select(F.col("handle").alias("run_id"), "stream", F.coalesce("content", F.lit(b"")).alias("raw"))
 
 
 def read_meta(spark: SparkSession, folder: str) -> DataFrame:
