@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import discard, fresh, materialize
 
 # The patterns of the base spans.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -145,17 +145,17 @@ def limits(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
     ``tokens`` has group, level and ordinary. Its counts are a table of at most
     CLASSES x LEVELS x 2 rows; all further work is on that.
     """
-    counts = tokens.groupBy("group", "level").agg(F.sum(F.when(F.col("ordinary"), 1).otherwise(0)).alias("null"), F.sum(F.when(F.col("ordinary"), 0).otherwise(1)).alias("suspect"))
+    counts = tokens.groupBy("group", "level").agg(F.sum(F.when(F.col("ordinary"), 1).otherwise(0)).alias("plain"), F.sum(F.when(F.col("ordinary"), 0).otherwise(1)).alias("suspect"))
     counts = materialize(counts, "secret-counts")
-    suspects = counts.where("suspect > 0").select("group", "level", "suspect")
-    nulls = counts.where("null > 0").select(F.col("group").alias("g"), F.col("level").alias("l"), "null")
-    total = nulls.join(suspects.select("group").distinct(), F.col("g") <= F.col("group")).groupBy("group").agg(F.sum("null").alias("total"))
-    below = nulls.join(suspects, (F.col("g") <= F.col("group")) & (F.col("l") <= F.col("level"))).groupBy("group", "level").agg(F.sum("null").alias("below"))
-    per = Window.partitionBy("group")
-    judged = suspects.join(total, "group", "left").join(below, ["group", "level"], "left").fillna(0, ["total", "below"])
-    judged = judged.withColumn("tests", F.sum("suspect").over(per)).withColumn("found", F.sum("suspect").over(per.orderBy("level")))
-    p = (F.col("below") + 1) / (F.col("total") + 1)
-    return judged.where(p * F.col("tests") <= fdr * F.col("found")).groupBy("group").agg(F.max("level").alias("level"))
+    # an ordinary token stands for its own length class and all longer ones
+    wider = F.explode(F.sequence("group", F.lit(CLASSES - 1))).alias("group")
+    spread = counts.select(wider, "level", "plain").withColumn("suspect", F.lit(0).cast("long"))
+    rows = spread.unionByName(counts.select("group", "level", F.lit(0).cast("long").alias("plain"), "suspect")).groupBy("group", "level").agg(F.sum("plain").alias("plain"), F.sum("suspect").alias("suspect"))
+    whole = Window.partitionBy("group")
+    upto = whole.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    judged = rows.select("group", "level", *(F.sum(c).over(w).alias(f"{n}_{c}") for n, w in (("all", whole), ("low", upto)) for c in ("plain", "suspect")))
+    p = (F.col("low_plain") + 1) / (F.col("all_plain") + 1)
+    return judged.where((p * F.col("all_suspect") <= fdr * F.col("low_suspect")) & (F.col("low_suspect") > 0)).groupBy("group").agg(F.max("level").alias("level"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -204,6 +204,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens = materialize(docs.select(F.explode(_tokens(text)).alias("t")).select("t.group", "t.level", "t.ordinary"), "secret-tokens")
     passed = {r["group"]: r["level"] for r in limits(tokens, fdr).collect()}
+    discard(tokens)
     limit = F.array(*(F.lit(passed.get(g, -1)) for g in range(CLASSES)))
     base = base_spans(text)
     bare = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
