@@ -170,11 +170,23 @@ def _core(item):
     return item[1] if isinstance(item, tuple) else (item,)
 
 
+def _grouped(items: tuple, groups: list[tuple]) -> tuple:
+    """Items with every single stretch that equals a known group made that group."""
+    out, i = [], 0
+    while i < len(items):
+        body = next((g for g in groups if items[i : i + len(g)] == g), None)
+        out.append(("+", body) if body else items[i])
+        i += len(body) if body else 1
+    return tuple(out)
+
+
 def merge(a: tuple, b: tuple) -> tuple:
     """The wrapper of all that ``a`` or ``b`` describes: aligned by a longest common
     subsequence of their items, with the rest optional."""
     if a == b:
         return a
+    groups = sorted({x[1] for x in (*a, *b) if isinstance(x, tuple) and x[0] == "+"}, key=len, reverse=True)
+    a, b = _grouped(a, groups), _grouped(b, groups)
     n, m = len(a), len(b)
     ka, kb = [_core(x) for x in a], [_core(x) for x in b]
     best = [[0] * (m + 1) for _ in range(n + 1)]
