@@ -101,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE: dict[str, str] = {"op1_url_filter": urls.oracle_sql(URL_RULES)}
+ORACLE: dict[str, str] = {
+    "op1_url_filter": urls.oracle_sql(URL_RULES),
+    "op3_substring_dedup": substrings.oracle_sql(),
+}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialize
+from .common import bounded_batches, discard, fresh, materialize
 from .words import Words, as_utf8, hashes, mix, powers, slices, split, window_hashes
 
 WINDOW = 35
@@ -303,6 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = symbols.join(twice, ["name", "check"]).groupBy("rid")
     known = known.agg(F.collect_set(key).alias("known"), F.collect_set(F.when((F.col("host") != F.col("rid")) & (F.col("check") != 0), key)).alias("elsewhere"))
     known = materialize(known, "substr-known")
+    discard(symbols, twice)
 
     found = rows.join(known, "rid", "left").select("rid", "rid2", "text", "known", "elsewhere").mapInArrow(_candidates_of(window), _FOUND)
     found = materialize(found, "substr-found")
@@ -310,4 +311,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = materialize(open_.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "substr-again")
     hits = open_.join(again, ["h1", "h2"]).select("rid", "rid2", "s", "e").unionByName(found.where("h1 is null").select("rid", "rid2", "s", "e"))
     spans = materialize(hits.groupBy("rid", "rid2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "substr-spans")
+    discard(known, found, again)
     return rows.join(spans, ["rid", "rid2"], "left").select("id", "text", "spans").mapInArrow(_kept, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
+
+
+def oracle_sql(id_col: str = "doc_id", table: str = "documents", window: int = WINDOW) -> str:
+    """The digest of ``remove_repeats`` in DuckDB SQL, by comparing all windows."""
+    last = window - 1
+    return f"""
+WITH t AS (SELECT {id_col} AS id, row_number() OVER () AS n, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM {table}),
+p AS (SELECT n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t),
+k AS (SELECT n, i, word, CASE WHEN count(*) OVER f = {window} THEN md5(string_agg(word, ' ') OVER f) END AS key
+  FROM p WINDOW f AS (PARTITION BY n ORDER BY i ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING)),
+d AS (SELECT key FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
+m AS (SELECT k.n, k.i, k.word, max((d.key IS NOT NULL)::INT) OVER (PARTITION BY k.n ORDER BY k.i ROWS BETWEEN {last} PRECEDING AND CURRENT ROW) AS gone
+  FROM k LEFT JOIN d USING (key)),
+g AS (SELECT n, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY n)
+SELECT id AS {id_col}, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN g USING (n)"""

@@ -121,7 +121,7 @@ def oracle_sql(rules: Iterable[Rule], id_col: str = "page_id", table: str = "pag
     count = lambda terms: " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INT" for t in terms)
     return f"""
 WITH rules AS ({fits}),
-p AS (SELECT *, row_number() OVER () AS n, {low("coalesce(url, '')")} AS u,
+p AS (SELECT {id_col}, row_number() OVER () AS n, {low("coalesce(url, '')")} AS u,
         {low("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host,
         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM {table}),
 best AS (SELECT n, arg_max(action, length(rhost || rpath)) AS action, arg_max(rhost || rpath, length(rhost || rpath)) AS rule
