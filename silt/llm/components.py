@@ -10,20 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "cc-least")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    out = materialize(out, "cc-large")
+    discard(least)
+    return out
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    out = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-small")
+    discard(least)
+    return out
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,7 +36,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``links`` has two long columns a and b, in any order, repeats and self links
     allowed; null ends are ignored. Nodes without a link to another node are not
-    returned. An empty table gives an empty result.
+    returned. An empty table gives an empty result. The result is a written table.
     """
     now = materialize(
         links.where("a is not null and b is not null and a <> b")
@@ -41,9 +46,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     seen = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(materialize(_large_star(now), "cc-large")), "cc-small")
+        wide = _large_star(now)
+        narrow = _small_star(wide)
+        discard(now, wide)
+        now = narrow
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._silt_path = now._silt_path
+            return out
         seen = mark
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialize
+from .common import bounded_batches, discard, fresh, materialize
 from .components import components
 from .words import as_utf8
 
@@ -218,7 +218,9 @@ def _rooted(own: DataFrame, distance: int, blocks: int, max_bucket: int) -> Data
     fps = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
     roots = components(links(fps.select("fp"), distance, blocks, max_bucket))
     rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return materialize(rooted, "simhash-rooted")
+    out = materialize(rooted, "simhash-rooted")
+    discard(fps, roots)
+    return out
 
 
 def near_duplicates(
@@ -241,6 +243,7 @@ def near_duplicates(
     rooted = _rooted(own, distance, blocks, max_bucket)
     named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     classes = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
+    discard(rooted, named)
     return own.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -259,10 +262,11 @@ def keep_one(
     """
     fresh(docs, id_col, text_col)
     keyed = docs.withColumn("_row", F.xxhash64(id_col, text_col))
-    own = materialize(fingerprints(keyed.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), text_col), "_key", text_col, shingle), "simhash-docs")
-    own = own.select(F.col("id.id").alias("id"), F.col("id._row").alias("row"), "fp")
-    rooted = _rooted(own, distance, blocks, max_bucket).select("fp", "root")
+    written = materialize(fingerprints(keyed.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), text_col), "_key", text_col, shingle), "simhash-docs")
+    own = written.select(F.col("id.id").alias("id"), F.col("id._row").alias("row"), "fp")
+    rooted = _rooted(own, distance, blocks, max_bucket)
     least = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least")
     per_fp = materialize(own.groupBy("fp").agg(least), "simhash-per-fp")
-    kept = materialize(per_fp.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row")), "simhash-kept")
+    kept = materialize(per_fp.join(rooted.drop("least"), "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row")), "simhash-kept")
+    discard(written, rooted, per_fp)
     return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
