@@ -28,6 +28,12 @@ FAILURE_PHRASES = ["panicked at", "traceback (most recent call last)", "stack tr
 SPLITTERS = "/\\:;|=<>{}[]()#@$%^&*+~`\""
 RUN_PER_TOKEN = 5
 BAR_LEAST = 8
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+# Parts that every line with a word of the lists holds, to pass over all other lines
+# with plain substring searches.
+FAILURE_PARTS = ["error", "fail", "panic", "fatal", "abort", "exception", "traceback", "stack trace"]
+WARNING_PARTS = ["warn", "deprecat"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,7 +45,7 @@ def _set(characters: str) -> str:
 
 def trim(text: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(text, rf"(?s)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def lower_ascii(text: Column) -> Column:
@@ -47,7 +53,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.rlike(rf"\A{SPACE}*\z")
+    return trim(text) == ""
 
 
 # -- terminal escapes ------------------------------------------------------------------
@@ -71,14 +77,14 @@ def clean(text: Column) -> Column:
 
 def clean_line(text: Column) -> Column:
     """Cleaned only where there is an escape or a carriage return."""
-    return F.when(text.rlike("[\x1b\r]"), clean(text)).otherwise(text)
+    return F.when(text.contains("\x1b") | text.contains("\r"), clean(text)).otherwise(text)
 
 
 # -- shape -----------------------------------------------------------------------------
 
 
 def is_indented(text: Column) -> Column:
-    return text.rlike(r"\A[ \t]")
+    return text.startswith(" ") | text.startswith("\t")
 
 
 def is_gutter(text: Column) -> Column:
@@ -97,12 +103,14 @@ def is_decoration(text: Column) -> Column:
 
 def is_percentage(trimmed: Column) -> Column:
     shape = r"(?s)\A([^%]*?)[0-9.]+%(.*)\z"
-    return trimmed.rlike(shape) & is_decoration(F.regexp_extract(trimmed, shape, 1)) & is_decoration(F.regexp_extract(trimmed, shape, 2))
+    return trimmed.contains("%") & trimmed.rlike(shape) & is_decoration(F.regexp_extract(trimmed, shape, 1)) & is_decoration(F.regexp_extract(trimmed, shape, 2))
 
 
 def is_bar(trimmed: Column) -> Column:
+    """Drawn for three quarters, and so with three drawing characters together somewhere."""
     drawn = F.length(F.regexp_replace(trimmed, f"[^{_set(BAR_CHARACTERS)}]", ""))
-    return (drawn >= BAR_LEAST) & (drawn * 4 >= F.length(trimmed) * 3)
+    likely = (F.length(trimmed) >= BAR_LEAST) & trimmed.rlike(f"[{_set(BAR_CHARACTERS)}]{{3}}")
+    return likely & (drawn >= BAR_LEAST) & (drawn * 4 >= F.length(trimmed) * 3)
 
 
 def is_progress(text: Column) -> Column:
@@ -123,13 +131,20 @@ def _reports(low: Column, words: list[str]) -> Column:
     return start | detail | low.rlike(rf"[0-9]{SPACE}+({w})")
 
 
+def _holds(text: Column, parts: list[str]) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for p in parts:
+        out = out | low.contains(p)
+    return out
+
+
 def is_failure_line(text: Column) -> Column:
     low = lower_ascii(text)
     phrase = F.lit(False)
     for p in FAILURE_PHRASES:
         phrase = phrase | low.contains(p)
     named = low.rlike(rf"(?s)\A{SPACE}*[^\p{{IsWhite_Space}}]*(error|exception)[^\p{{IsWhite_Space}}]*:({SPACE}|\z)")
-    return phrase | named | _reports(low, FAILURE_WORDS)
+    return _holds(text, FAILURE_PARTS) & (phrase | named | _reports(low, FAILURE_WORDS))
 
 
 def is_test_failure_line(text: Column) -> Column:
@@ -138,7 +153,7 @@ def is_test_failure_line(text: Column) -> Column:
 
 
 def is_warning_line(text: Column) -> Column:
-    return _reports(lower_ascii(text), WARNING_WORDS)
+    return _holds(text, WARNING_PARTS) & _reports(lower_ascii(text), WARNING_WORDS)
 
 
 def has_content(text: Column) -> Column:

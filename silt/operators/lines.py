@@ -19,7 +19,8 @@ def split_lines(streams: DataFrame, raw: str = "raw") -> DataFrame:
     lines = parts.select(*kept, F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_at", "text"))
     lines = lines.where((F.col("_at") < F.col("_n") - 1) | (F.col("text") != ""))
     ended = F.col("_at") < F.col("_n") - 1
-    text = F.when(ended, F.regexp_replace("text", r"\r\z", "")).otherwise(F.col("text"))
+    line = F.col("text")
+    text = F.when(ended & line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
     return lines.select(*kept, (F.col("_at") + 1).alias("origin"), text.alias("text"))
 
 
@@ -46,7 +47,7 @@ def flag_lines(lines: DataFrame) -> DataFrame:
         "gutter",
         T.is_progress(clean).alias("progress"),
         T.is_failure_line(clean).alias("failing"),
-        T.is_test_failure_line(clean).alias("testing"),
+        (T.is_failure_line(clean) & T.is_test_failure_line(clean)).alias("testing"),
         T.is_warning_line(clean).alias("warning"),
         T.has_content(clean).alias("content"),
     )
