@@ -12,7 +12,7 @@ MASK = 0xFFFFFFFF
 
 UNIT_SECONDS = {"m": 60, "h": 3600, "d": 86400, "w": 604800}
 LOG_LEVELS = ["off", "error", "warn", "info", "debug", "trace"]
-SUBCOMMANDS = ["show", "explain", "stats", "plot", "lenses", "config", "logs"]
+SUBCOMMANDS = ["show", "explain", "stats", "plot", "config", "logs"]
 
 
 def _bytes(data: Column) -> Column:

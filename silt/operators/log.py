@@ -82,6 +82,34 @@ def by_reason(run_records: DataFrame) -> DataFrame:
     return run_records.where("passthrough and reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
+def printed(run_records: DataFrame) -> DataFrame:
+    """The report as numbered lines of text: (at, line)."""
+    r, pad = report(run_records), lambda c: F.lpad(F.col(c).cast("string"), 10, " ")
+    share = F.format_string("  (%s%%)", F.bround(100.0 * F.col("passthrough") / F.col("runs"), 0).cast("int").cast("string"))
+    some = F.array(
+        F.concat(F.rpad(F.lit("runs"), 18, " "), pad("runs")),
+        F.concat(F.rpad(F.lit("passthrough"), 18, " "), pad("passthrough"), share),
+        F.concat(F.rpad(F.lit("captured bytes"), 18, " "), pad("bytes")),
+    )
+    tokens = F.array(
+        F.concat(F.rpad(F.lit("input tokens"), 18, " "), pad("in_tok")),
+        F.concat(F.rpad(F.lit("output tokens"), 18, " "), pad("out_tok")),
+        F.concat(F.rpad(F.lit("reduction"), 18, " "), F.lpad(F.format_number("reduction_pct", 1), 9, " "), F.lit("%  (output tokens only)")),
+    )
+    head = F.when(F.col("runs") == 0, F.array(F.lit("no runs recorded"))).when(F.col("in_tok") > 0, F.concat(some, tokens)).otherwise(some)
+    lines = r.select(F.posexplode(head).alias("at", "line"))
+    parts = [lines]
+    for n, (title, rows, key, width) in enumerate((("by command", by_command(run_records), "cmd", 14), ("passthrough reasons", by_reason(run_records), "reason", 22))):
+        named = rows.select(F.col("n"), F.concat(F.lit("  "), F.rpad(F.col(key), width, " "), F.lpad(F.col("n").cast("string"), 8, " ")).alias("line"), F.col(key).alias("key"))
+        body = named.select((F.row_number().over(Window.orderBy(F.desc("n"), "key")) + 1000 * (n + 1)).alias("at"), "line")
+        titled = body.limit(1).select(F.lit(1000 * (n + 1)).alias("at"), F.lit(title).alias("line"))
+        parts += [titled, body]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("at")
+
+
 def at_level(records: DataFrame, wanted: str) -> DataFrame:
     """Records no more verbose than ``wanted``."""
     return records.where(level_rank(F.col("lvl")) <= level_rank(F.lit(wanted)))

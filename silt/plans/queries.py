@@ -11,6 +11,7 @@ from silt.functions import scalars as C
 from silt.functions import text as T
 from silt.operators import lines as L
 from silt.operators import log as G
+from silt.operators import measure as M
 from silt.operators import planner as P
 from silt.operators import render as R
 from silt.operators import stages as S
@@ -247,6 +248,16 @@ def decode_streams(spark, sf_dir):
     return both.select("run_id", "is_text", F.when(F.col("is_text"), F.length("text")).cast("long").alias("n"))
 
 
+@query(
+    f"""WITH RECURSIVE {O.EVENTS},\n{O.full()},\n{O.body()},
+acc AS (SELECT run_id, stream, sum(n_lines) AS lines, coalesce(sum(n_lines) FILTER (keep <> 'Drop'), 0) AS kept FROM b6 GROUP BY run_id, stream)
+SELECT run_id, stream, md5(coalesce(body, '')) AS body, coalesce(lines, 0)::BIGINT AS in_lines, coalesce(kept, 0)::BIGINT AS out_lines FROM streams LEFT JOIN vw USING (run_id, stream) LEFT JOIN acc USING (run_id, stream)"""
+)
+def filter_bytes(spark, sf_dir):
+    streams = events_log(spark, sf_dir).withColumn("raw", F.encode("raw", "UTF-8"))
+    return PL.filter_bytes(streams).select("run_id", "stream", F.md5("body").alias("body"), "in_lines", "out_lines")
+
+
 # -- run log ---------------------------------------------------------------------------
 
 _LOG = """runs AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'view' THEN 'debug' ELSE 'info' END AS lvl,
@@ -317,6 +328,17 @@ def exact_percentiles(spark, sf_dir):
     return G.percentiles(ST.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", [0.0, 0.5, 0.99])
 
 
+_MEASURED = "m AS (SELECT l_suppkey AS fixture, l_linestatus AS stage, avg(l_quantity) * 10 AS p50 FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL), b AS (SELECT l_suppkey AS fixture, l_linestatus AS stage, min(l_partkey)::DOUBLE AS was FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)"
+
+
+@query(f"WITH {_MEASURED}, r AS (SELECT m.*, was, CASE WHEN was > 0 THEN p50 / was END AS ratio FROM m LEFT JOIN b USING (fixture, stage)) SELECT fixture, stage, round(ratio, 6) AS ratio, CASE WHEN was IS NULL THEN 'new' WHEN was < {M.NOISE_US} THEN 'noise' WHEN ratio > {M.REGRESSION} THEN 'regression' ELSE 'ok' END AS verdict FROM r")
+def baseline_check(spark, sf_dir):
+    rows = ST.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("fixture"), F.col("l_linestatus").alias("stage"), "l_quantity", "l_partkey", "l_returnflag")
+    measured = rows.where("l_returnflag <> 'R'").groupBy("fixture", "stage").agg((F.avg("l_quantity") * 10).alias("p50"))
+    baseline = rows.where("stage = 'O'").groupBy("fixture", "stage").agg(F.min("l_partkey").cast("double").alias("p50"))
+    return M.against_baseline(measured, baseline).select("fixture", "stage", F.round("ratio", 6).alias("ratio"), "verdict")
+
+
 # -- store -----------------------------------------------------------------------------
 
 _STORE = "st AS (SELECT o_custkey AS store, lower(printf('%08x', o_orderkey)) AS handle, (o_totalprice * 100)::BIGINT AS bytes, o_orderdate AS modified FROM orders)"

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from silt.functions import scalars as C
 from silt.functions import text as T
-from silt.operators import log, planner, store
-from silt.plans import queries
+from silt import config
+from silt.operators import log, measure, planner, store
+from silt.plans import pipeline, queries
+from silt.sources import capture
 from silt.streaming import reports
 
 
@@ -155,3 +157,46 @@ def test_closed_runs_stream(spark, tmp_path):
 def test_planner_precedence(spark):
     df = spark.createDataFrame([(["vim", "--json"], False, False)], "argv array<string>, tty boolean, raw boolean")
     assert planner.plan(df, spark.createDataFrame([], "name string, dir_rank int, dir string, own boolean")).first()["reason"] == "interactive"
+
+
+def test_capture(spark):
+    script = "import os,sys; os.write(1, b'a\\n' * 70000); os.write(2, b'bad'); sys.exit(3)"
+    rows = [(["python3", "-c", script], "/"), (["sh", "-c", "kill -9 $$"], "/"), (["/no/such"], "/")]
+    got = [r for r in capture.run_commands(spark.createDataFrame(rows, "argv array<string>, cwd string")).collect()]
+    by = {r["argv"][0]: r for r in got}
+    assert (bytes(by["python3"]["stdout"]), bytes(by["python3"]["stderr"]), by["python3"]["exit_code"]) == (b"a\n" * 70000, b"bad", 3)
+    assert by["sh"]["exit_code"] == 137 and by["/no/such"]["exit_code"] is None
+    assert capture.child(["/usr/bin/git", "log"]) == ["/usr/bin/git", "--no-pager", "log"]
+
+
+def test_binary_streams_pass_through(spark):
+    rows = [(1, "stdout", b"\x01\x02\xff\x00\ntext\n", 0), (1, "stderr", "error: é\n".encode(), 1)]
+    got = {r["stream"]: r for r in pipeline.filter_bytes(spark.createDataFrame(rows, "run_id long, stream string, raw binary, exit_code int")).collect()}
+    assert bytes(got["stdout"]["body"]) == rows[0][2] and got["stdout"]["in_lines"] == got["stdout"]["out_lines"] == 2
+    assert bytes(got["stderr"]["body"]).decode() == "error: é\n" and got["stderr"]["in_lines"] == 1
+
+
+def test_measures(spark):
+    measured = spark.createDataFrame([("a", "x", 130), ("a", "y", 500), ("b", "x", 9), ("c", "x", 110)], "fixture string, stage string, p50 long")
+    baseline = spark.createDataFrame([("a", "x", 100), ("a", "y", 50), ("c", "x", 100)], "fixture string, stage string, p50 long")
+    got = {(r["fixture"], r["stage"]): r["verdict"] for r in measure.against_baseline(measured, baseline).collect()}
+    assert got == {("a", "x"): "regression", ("a", "y"): "noise", ("b", "x"): "new", ("c", "x"): "ok"}
+    times = spark.createDataFrame([("a", 1, 10), ("a", 4, 40), ("a", 16, 170), ("b", 1, 0), ("b", 4, 9), ("b", 16, 10)], "fixture string, scale int, p50 long")
+    assert {r["fixture"]: r["verdict"] for r in measure.growth(times).collect()} == {"a": "ok", "b": "superlinear"}
+    assert [one(spark, measure.format_bytes(F.lit(n))) for n in (5, 1023, 1024, 5000)] == ["5 B", "1023 B", "1 KB", "4 KB"]
+
+
+def test_printed_report(spark):
+    rows = [("ls", 100, 40, False, None), ("ls", 60, 24, False, None), ("vim", None, None, True, "interactive")]
+    df = spark.createDataFrame(rows, "cmd string, in_tok long, out_tok long, passthrough boolean, reason string").selectExpr("*", "10L as out_bytes", "null as err_bytes")
+    assert [r["line"] for r in log.printed(df).collect()] == [
+        "runs                       3", "passthrough                1  (33%)", "captured bytes            30", "input tokens             160", "output tokens             64", "reduction              60.0%  (output tokens only)",
+        "by command", "  ls                   2", "  vim                  1", "passthrough reasons", "  interactive                  1",
+    ]
+    assert [r["line"] for r in log.printed(df.limit(0)).collect()] == ["no runs recorded"]
+
+
+def test_folders():
+    assert config.folders({"HOME": "/h"}) == ("/h/.cache", "/h/.config", "/h/.local/state", "/h/.cache/silt/runs", "/h/.local/state/silt/logs")
+    got = config.folders({"HOME": "/h", "XDG_CACHE_HOME": "", "XDG_STATE_HOME": "/s", "SILT_STORE": "/x"}, "macos")
+    assert got.cache == "/h/Library/Caches" and got.logs == "/s/silt/logs" and got.store == "/x"
