@@ -7,7 +7,8 @@ stretches become a repeated group, and a stretch that some pages lack becomes an
 optional group. Text is always a slot.
 
 A wrapper is folded over the pages of each partition first, so a host of any size
-sends one small wrapper from each partition; these are aligned in turn. Slots carry
+sends one small wrapper from each partition; these are aligned in groups, and the groups'
+in turn, so that no task gathers them all. Slots carry
 the characters seen in them and in links. A slot is main text where its containers are
 not menus, headers, footers, sidebars, notices, adverts, forms or comments, and it lies
 in the wrapper's article; a host without an article has as its main text the container
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ from .words import as_utf8
 GROUP = 8
 HOSTS_HELD = 20_000
 WRAPPER_TOKENS = 400
+#: Groups that a host's partial wrappers are aligned in, before those are aligned.
+ALIGN_GROUPS = 64
 #: Bytes of all hosts' main paths up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -313,9 +317,10 @@ def _paths(main: str) -> frozenset:
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Wrapper] = {}
+    group = TaskContext.get().partitionId() % ALIGN_GROUPS
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([w.dump() for w in held.values()], pa.string())})
+        out = pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "part": pa.array([group] * len(held), pa.int32()), "wrapper": pa.array([w.dump() for w in held.values()], pa.string())})
         held.clear()
         return out
 
@@ -342,7 +347,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     """(host, wrapper, main) of every host, inferred from all of its pages; main lists the
     paths of the slots that hold main text."""
     bounded_batches(pages.sparkSession)
-    part = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_infer, "host string, wrapper string")
+    part = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_infer, "host string, part int, wrapper string")
+    part = part.groupBy("host", "part").applyInArrow(_align, "host string, wrapper string, main string")
     return materialize(part.groupBy("host").applyInArrow(_align, "host string, wrapper string, main string"), "html-wrappers")
 
 
