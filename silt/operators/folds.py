@@ -5,7 +5,8 @@ Runs in Python workers, so nothing here needs a session.
 
 from __future__ import annotations
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 
 MAX_WINDOW = 8
 MIN_REPEATS = 3
@@ -37,14 +38,24 @@ def fold_windows(keys: list[int]) -> tuple[set[int], dict[int, int]]:
     return dropped, counts
 
 
-def fold_stream(table: pa.Table) -> pa.Table:
-    table = table.sort_by("block")
-    dropped, counts = fold_windows(table.column("text_key").to_pylist())
-    n = table.num_rows
-    return pa.table({
-        "run_id": table.column("run_id"),
-        "stream": table.column("stream"),
-        "block": table.column("block"),
-        "folded": pa.array([i in dropped for i in range(n)]),
-        "fold_count": pa.array([counts.get(i) for i in range(n)], pa.int64()),
-    })
+def may_repeat(keys: np.ndarray) -> bool:
+    """Whether some key equals those w and 2w further, as any repeated window needs."""
+    return any(bool(((keys[: -2 * w] == keys[w:-w]) & (keys[w:-w] == keys[2 * w :])).any()) for w in range(2, min(MAX_WINDOW, len(keys) // MIN_REPEATS) + 1))
+
+
+def fold_codes(streams: pd.Series) -> pd.Series:
+    """For each stream's keys, a code for each: 0 stays, n is marked as n copies, -1 is
+    dropped, -n is marked and then dropped. Streams without a hit have no codes."""
+
+    def codes(keys: np.ndarray | None) -> np.ndarray | None:
+        if keys is None or not may_repeat(keys):
+            return None
+        dropped, counts = fold_windows(keys.tolist())
+        out = np.zeros(len(keys), np.int64)
+        for i, n in counts.items():
+            out[i] = n
+        for i in dropped:
+            out[i] = -max(1, out[i])
+        return out
+
+    return pd.Series([codes(k) for k in streams], dtype=object)

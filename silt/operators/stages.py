@@ -14,7 +14,7 @@ from silt.functions.text import TAG, normalise_digits
 from silt.session import python_workers
 from silt.sources.streams import KEY
 
-from .folds import LIVE_LEAST, MAX_WINDOW, fold_stream
+from .folds import LIVE_LEAST, fold_codes
 
 FLOOR = {"stdout": 3, "stderr": 5}
 CONTEXT = 3
@@ -75,24 +75,25 @@ def collapse_adjacent(blocks: DataFrame) -> DataFrame:
 def collapse_windows(blocks: DataFrame) -> DataFrame:
     """Repeated runs of blocks, digits aside, reduced to their first copy.
 
-    The greedy search is a fold, so it runs in Python, but only over streams in which
-    some kept block equals the ones w and 2w live places on: all others can't repeat.
+    The greedy search is a fold over a stream's kept blocks, so each stream's keys go to
+    Python as one array, unless they are too few to repeat. The blocks ride along in
+    the same row and come apart again: the partitioning stays, and nothing is joined.
     """
     python_workers(blocks.sparkSession)
-    live = blocks.where(kept()).select(*KEY, "block", F.xxhash64(normalise_digits(block_text()), F.length(normalise_digits(block_text()))).alias("text_key"))
-    hit = F.lit(False)
-    for w in range(2, MAX_WINDOW + 1):
-        hit = hit | ((F.col("text_key") == F.lag("text_key", w).over(ordered())) & (F.col("text_key") == F.lag("text_key", 2 * w).over(ordered())))
-    live = live.withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("int")).withColumn("_any", F.max("_hit").over(whole())).withColumn("_n", F.count("*").over(whole()))
-    live = live.where((F.col("_any") == 1) & (F.col("_n") >= LIVE_LEAST)).drop("_hit", "_any", "_n")
-    kind = blocks.schema["run_id"].dataType.simpleString()
-    block_kind = blocks.schema["block"].dataType.simpleString()
-    folded = live.groupBy(*KEY).applyInArrow(fold_stream, f"run_id {kind}, stream string, block {block_kind}, folded boolean, fold_count long")
-    blocks = blocks.join(folded, [*KEY, "block"], "left")
-    gone = F.coalesce(F.col("folded"), F.lit(False))
-    blocks = blocks.withColumn("lines", annotate(F.col("lines"), F.col("fold_count"))).withColumn("marked", F.col("marked") | F.col("fold_count").isNotNull())
-    blocks = blocks.withColumn("reason", F.when(gone, "dedupe").otherwise(F.col("reason"))).withColumn("keep", F.when(gone, "Drop").otherwise(F.col("keep")))
-    return blocks.drop("folded", "fold_count")
+    columns = [c for c in blocks.columns if c not in KEY]
+    flat = normalise_digits(block_text())
+    live = blocks.withColumn("_key", F.when(kept(), F.xxhash64(flat, F.length(flat)))).withColumn("_at", F.sum(kept().cast("int")).over(ordered()))
+    rows = live.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("block", *(c for c in columns if c != "block"), "_key", "_at"))).alias("_b"))
+    keys = F.filter(F.transform("_b", lambda b: b["_key"]), lambda k: k.isNotNull())
+    search = F.pandas_udf(fold_codes, "array<long>")
+    rows = rows.withColumn("_codes", search(F.when(F.size(keys) >= LIVE_LEAST, keys)))
+    out = rows.select(*KEY, "_codes", F.explode("_b").alias("_b")).select(*KEY, "_codes", *(F.col(f"_b.{c}").alias(c) for c in [*columns, "_at"]))
+    code = F.when(kept() & (F.size("_codes") > 0), F.element_at("_codes", F.col("_at").cast("int")))
+    out = out.withColumn("_code", F.coalesce(code, F.lit(0))).drop("_codes", "_at")
+    gone, times = F.col("_code") < 0, F.when(F.abs("_code") > 1, F.abs("_code"))
+    out = out.withColumn("lines", annotate(F.col("lines"), times)).withColumn("marked", F.col("marked") | times.isNotNull())
+    out = out.withColumn("reason", F.when(gone, "dedupe").otherwise(F.col("reason"))).withColumn("keep", F.when(gone, "Drop").otherwise(F.col("keep")))
+    return out.drop("_code")
 
 
 def classify(blocks: DataFrame) -> DataFrame:
