@@ -27,7 +27,7 @@ K = 5
 SAMPLE = 20_000
 #: Coarse lists: the square root of the rows, at most this; and the share looked into.
 MAX_LISTS = 1024
-PROBE_SHARE = 0.6
+PROBE_SHARE = 0.7
 #: Parts of a residual, values of each, and members of a chunk reranked exactly.
 PARTS = 16
 VALUES = 256
