@@ -28,10 +28,12 @@ SAMPLE = 20_000
 #: Coarse lists: the square root of the rows, at most this; and the share looked into.
 MAX_LISTS = 1024
 PROBE_SHARE = 0.7
+#: Rows that a query's lists must hold together, if there are so many.
+LEAST_ROWS = 1000
 #: Parts of a residual, values of each, and members of a chunk reranked exactly.
 PARTS = 16
 VALUES = 256
-RERANK = 64
+RERANK = 256
 CHUNK_ROWS = 8192
 BLOCK_QUERIES = 2048
 ROUNDS = 12
@@ -193,7 +195,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
         sizes[r["list"]] = r["count"]
     index = index._replace(sizes=sizes)
     probes = int(np.ceil(len(sizes) * probe_share))
-    asked = rows.where("asks").select("vec_id", "vector").mapInArrow(_probes(index, d, probes, 20 * k), "list int, chunk int, query_id long, query array<float>")
+    asked = rows.where("asks").select("vec_id", "vector").mapInArrow(_probes(index, d, probes, max(LEAST_ROWS, 20 * k)), "list int, chunk int, query_id long, query array<float>")
     asked = materialize(asked, "ann-probes")
     busy = asked.groupBy("list", "chunk").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-busy // BLOCK_QUERIES))
