@@ -56,6 +56,9 @@ CLASS_WORDS = {
     "recommended", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "teasers", "toolbar", "warning", "widget", "widgets",
 }
 
+CLASS_STARTS = ("advert", "breadcrumb", "comments", "cookie", "gdpr", "newsletter", "promo", "sidebar", "sponsor", "subscri")
+SWALLOWS = {"script", "style", "textarea", "title", "template", "noscript"}
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
@@ -78,7 +81,7 @@ def _is_boilerplate(key: str) -> bool:
         return any(m == f"role={r}" for m in marks for r in ROLES) or name == "article" and any(w in ("comment", "comments", "reply", "ad", "promo", "sponsored", "related", "teaser") for m in marks for w in re.split(r"[^a-z0-9]+", m.partition("=")[2]))
     for m in marks:
         kind, _, value = m.partition("=")
-        if kind == "role" and value in ROLES or kind != "role" and any(w in CLASS_WORDS for w in re.split(r"[^a-z]+", value)):
+        if kind == "role" and value in ROLES or kind != "role" and any(w in CLASS_WORDS or w.startswith(CLASS_STARTS) for w in re.split(r"[^a-z]+", value)):
             return True
     return False
 
@@ -122,7 +125,7 @@ def read(page: str) -> Iterator[tuple[str, object]]:
         elif name in RAW:
             if not m[3].rstrip().endswith("/"):
                 close = _RAW_END[name].search(page, at)
-                at = close.end() if close else end
+                at = close.end() if close else end if name in SWALLOWS else at
         elif name in CONTAINERS:
             names.append(name)
             path.append(_key(name, m[3]))
@@ -263,12 +266,11 @@ class Wrapper:
             slot[1] += b
         self.fold(other.items)
 
-    def main(self) -> set:
-        """Paths of the slots that hold main text."""
+    def main(self) -> tuple[set, set]:
+        """Paths of the slots that hold main text: in articles, and for pages without."""
         fine = {p: v for p, v in self.slots.items() if not _drops(p)}
         articles = {p for p in fine if any(_is_article(k) for k in p)}
-        if articles:
-            return articles
+        fine = {p: v for p, v in fine.items() if p not in articles}
         inside: dict[tuple, int] = {}
         for p, (plain, _) in fine.items():
             for n in range(1, len(p) + 1):
@@ -276,7 +278,7 @@ class Wrapper:
         total = sum(plain for plain, _ in fine.values())
         # the deepest container that holds most of the text outside of links
         region = max((p for p, n in inside.items() if 2 * n > total), key=len, default=())
-        return {p for p, (plain, link) in fine.items() if p[: len(region)] == region and plain >= link}
+        return articles, {p for p, (plain, link) in fine.items() if p[: len(region)] == region and plain >= link}
 
 
 def _drops(path: tuple) -> bool:
@@ -289,30 +291,37 @@ def _drops(path: tuple) -> bool:
     return False
 
 
-def extract(page: str, main: set) -> str:
-    """The text in main slots: references decoded, blocks trimmed and joined by \\n."""
-    blocks, now = [], []
+def extract(page: str, main: tuple[set, set]) -> str:
+    """The text in main slots: references decoded, blocks trimmed and joined by \\n.
+
+    A page with text in its host's article slots has those alone as its main text.
+    """
+    found: tuple[list[str], list[str]] = ([], [])
+    now: tuple[list[str], list[str]] = ([], [])
 
     def close() -> None:
-        if now:
-            line = " ".join(entities.unescape("".join(now)).split())
-            if line:
-                blocks.append(line)
-            now.clear()
+        for blocks, parts in zip(found, now, strict=True):
+            if parts:
+                line = " ".join(entities.unescape("".join(parts)).split())
+                if line:
+                    blocks.append(line)
+                parts.clear()
 
     for kind, what in read(page):
         if kind == "text":
-            if what[0] in main:
-                now.append(what[2])
+            for parts, paths in zip(now, main, strict=True):
+                if what[0] in paths:
+                    parts.append(what[2])
         else:
             close()
     close()
-    return "\n".join(blocks)
+    return "\n".join(found[0] or found[1])
 
 
 @lru_cache(maxsize=4096)
-def _paths(main: str) -> frozenset:
-    return frozenset(tuple(p) for p in json.loads(main))
+def _paths(main: str) -> tuple[frozenset, frozenset]:
+    articles, rest = json.loads(main)
+    return frozenset(map(tuple, articles)), frozenset(map(tuple, rest))
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +348,7 @@ def _align(table: pa.Table) -> pa.Table:
     whole = Wrapper()
     for text in sorted(table.column("wrapper").to_pylist()):
         whole.join(Wrapper.load(text))
-    main = json.dumps(sorted(whole.main()), ensure_ascii=False)
+    main = json.dumps([sorted(paths) for paths in whole.main()], ensure_ascii=False)
     return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([whole.dump()], pa.string()), "main": pa.array([main], pa.string())})
 
 
@@ -371,7 +380,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(p, _paths(m or "[]")) for p, m in zip(as_utf8(batch.column(2)).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(p, _paths(m or "[[],[]]")) for p, m in zip(as_utf8(batch.column(2)).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
