@@ -188,6 +188,13 @@ def test_host_without_article(spark):
     assert all(got[n]["text"] == (f"words of page {n} " * (n + 3)).strip() for n in got)
 
 
+def test_mixed_host(spark):
+    """Pages without an article keep their text on a host where others have one."""
+    rows = [(1, "http://m.org/a", "<article><p>in article</p></article><div>tail</div>"), (2, "http://m.org/b", "<div id=x><p>no article here, but text</p><button>unclosed</div><div class=cookiebar>no</div>")]
+    got = main(spark, rows)
+    assert got[1]["text"] == "in article" and got[2]["text"] == "no article here, but text\nunclosed"
+
+
 def test_wrapper_alignment():
     a = html.collapse(("h1", "#", "p", "#", "/p", "p", "#", "/p", "p", "#", "/p"))
     assert a == ("h1", "#", ("+", ("p", "#", "/p")))
