@@ -87,9 +87,9 @@ def collapse_windows(blocks: DataFrame) -> DataFrame:
     keys = F.filter(F.transform("_b", lambda b: b["_key"]), lambda k: k.isNotNull())
     search = F.pandas_udf(fold_codes, "array<long>")
     rows = rows.withColumn("_codes", search(F.when(F.size(keys) >= LIVE_LEAST, keys)))
-    out = rows.select(*KEY, "_codes", F.explode("_b").alias("_b")).select(*KEY, "_codes", *(F.col(f"_b.{c}").alias(c) for c in [*columns, "_at"]))
-    code = F.when(kept() & (F.size("_codes") > 0), F.element_at("_codes", F.col("_at").cast("int")))
-    out = out.withColumn("_code", F.coalesce(code, F.lit(0))).drop("_codes", "_at")
+    code = lambda b: F.when((b["keep"] != "Drop") & (F.size("_codes") > 0), F.element_at("_codes", b["_at"].cast("int")))
+    coded = F.transform("_b", lambda b: F.struct(*(b[c].alias(c) for c in columns), F.coalesce(code(b), F.lit(0).cast("long")).alias("_code")))
+    out = rows.select(*KEY, F.explode(coded).alias("_b")).select(*KEY, *(F.col(f"_b.{c}").alias(c) for c in [*columns, "_code"]))
     gone, times = F.col("_code") < 0, F.when(F.abs("_code") > 1, F.abs("_code"))
     out = out.withColumn("lines", annotate(F.col("lines"), times)).withColumn("marked", F.col("marked") | times.isNotNull())
     out = out.withColumn("reason", F.when(gone, "dedupe").otherwise(F.col("reason"))).withColumn("keep", F.when(gone, "Drop").otherwise(F.col("keep")))

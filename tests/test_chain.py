@@ -113,3 +113,21 @@ def test_empty_and_null_streams(spark):
     for level in (0, 1, 2):
         assert {r["body"] for r in P.filter_view(streams(spark, rows), level).collect()} == {""}
     assert P.filter_view(streams(spark, []), 2).count() == 0
+
+
+def test_events_log_counts(spark):
+    """Counts of the log made from the events table, worked out by hand beforehand."""
+    import os
+
+    from silt.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    blocks = P.run(queries.events_log(spark, folder)).cache()
+    count = lambda c: {r[c]: r["count"] for r in blocks.groupBy(c).count().collect()}
+    assert blocks.count() == 283 and blocks.agg(F.sum("n_lines")).first()[0] == 798
+    assert count("class") == {"Error": 9, "Warning": 134, "Info": 126, "Progress": 14}
+    assert count("keep") == {"Force": 72, "Normal": 186, "Drop": 25}
+    gone = {r["reason"]: r["n"] for r in blocks.where("keep = 'Drop'").groupBy("reason").agg(F.sum("n_lines").alias("n")).collect()}
+    assert gone == {"progress": 26, "dedupe": 23}
