@@ -265,13 +265,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, spans = as_utf8(batch.column(1)).to_pylist(), batch.column(2)
         total, removed, kept = [], [], []
+        edge = np.concatenate(([0], np.cumsum(np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
+        flat = spans.flatten()
+        s, e = flat.field("s").to_numpy(), flat.field("e").to_numpy()
         for k, text in enumerate(texts):
             words = text.encode().split()
             total.append(len(words))
-            if spans[k].is_valid:
-                s = np.array([x["s"] for x in spans[k].as_py()], np.int64)
-                e = np.array([x["e"] for x in spans[k].as_py()], np.int64)
-                drop = _covered(len(words), s, e)
+            a, b = edge[k], edge[k + 1]
+            if b > a:
+                drop = _covered(len(words), s[a:b], e[a:b])
                 words = [w for w, d in zip(words, drop.tolist(), strict=True) if not d]
             removed.append(total[-1] - len(words))
             kept.append(b" ".join(words).decode())
