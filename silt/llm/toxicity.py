@@ -28,7 +28,7 @@ from .words import as_utf8, hashes, mix, slices, split
 FOLDS, HELD_OUT = 4, 2
 #: Labelled rows and characters of each class in the fit, at most.
 SAMPLE_PER_CLASS = 3000
-SAMPLE_CHARS = 12_000_000
+SAMPLE_CHARS = 9_000_000
 CUT = 0.3
 BUCKETS = 1 << 16
 #: The tables: leading bytes of a word that each hashes (0: all), and a salt.
@@ -131,7 +131,7 @@ def _start(ids: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     tables = np.random.default_rng(11).normal(0, 0.01, (len(TABLES), BUCKETS, DIMENSIONS)).astype(np.float32)
     clean, bad = (y == 0).sum(), (y == 1).sum()
     for table, bucket in zip(tables, ids, strict=True):
-        d, b = np.divmod(np.unique(doc * BUCKETS + bucket), BUCKETS)
+        d, b = np.divmod(np.unique(doc * BUCKETS + bucket.astype(np.int64)), BUCKETS)
         a, c = np.bincount(b, y[d] == 1, BUCKETS), np.bincount(b, y[d] == 0, BUCKETS)
         odds = np.log((a + 0.5) / (bad - a + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
         table[:, 0] = np.where(a + c > 0, odds / np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)) / (2 * len(TABLES)), 0)
@@ -146,7 +146,7 @@ def fit(parts: list[Tokens], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5)
     for p in parts:
         first.append(p.first[1:] + first[-1][-1])
     first = np.concatenate(first)
-    ids = np.concatenate([p.ids for p in parts], axis=1)
+    ids = np.concatenate([p.ids.astype(np.uint16) for p in parts], axis=1)
     language = np.concatenate([p.language for p in parts])
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     parts.clear()  # their arrays are in ids now; the fit's memory is bounded by the sample
@@ -173,7 +173,7 @@ def fit(parts: list[Tokens], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5)
             at = np.repeat(first[batch] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             f0 = np.concatenate(([0], np.cumsum(sizes)))
             d0 = np.repeat(np.arange(len(batch)), sizes)
-            some = ids[:, at]
+            some = ids[:, at].astype(np.int64)
             now = net._replace(out_bias=float(out_bias[0]))
             pooled, x, places = _pool(some, f0, d0, now, where=True)
             flat = pooled.reshape(len(batch), -1)
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got.sort(key=lambda r: (r["y"], bytes(r["cells"])))
     parts, y = [], np.array([r["y"] for r in got])
     for r in got:
-        ids = np.frombuffer(bytes(r["cells"]), np.uint16).reshape(-1, len(TABLES)).T.astype(np.int32)
+        ids = np.frombuffer(bytes(r["cells"]), np.uint16).reshape(-1, len(TABLES)).T
         n = ids.shape[1]
         parts.append(Tokens(ids, np.array([0, n]), np.zeros(n, np.int64), np.array([r["language"]])))
     del got
