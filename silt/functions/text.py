@@ -110,7 +110,8 @@ def is_bar(trimmed: Column) -> Column:
     """Drawn for three quarters, and so with three drawing characters together somewhere."""
     drawn = F.length(F.regexp_replace(trimmed, f"[^{_set(BAR_CHARACTERS)}]", ""))
     likely = (F.length(trimmed) >= BAR_LEAST) & trimmed.rlike(f"[{_set(BAR_CHARACTERS)}]{{3}}")
-    return likely & (drawn >= BAR_LEAST) & (drawn * 4 >= F.length(trimmed) * 3)
+    # ``drawn`` stands once, or Spark would work it out for every line as a common part
+    return likely & (drawn * 4 >= F.greatest(F.length(trimmed) * 3, F.lit(BAR_LEAST * 4)))
 
 
 def is_progress(text: Column) -> Column:

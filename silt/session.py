@@ -29,6 +29,9 @@ def local_session(name: str = "silt", cpus: int = 8, memory: str = "8g", **conf:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(cpus),
+        # small tables, heavy work on each row: let every core have a part of them
+        "spark.sql.files.maxPartitionBytes": "4m",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     }
     spark = builder.config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
