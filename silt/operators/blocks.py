@@ -15,16 +15,14 @@ def assign_blocks(flagged: DataFrame) -> DataFrame:
     nor in a gutter) begins a block once the block has an indented line after its first.
     """
     order = Window.partitionBy(*KEY).orderBy("origin")
-    lines = flagged.withColumn("seg", F.sum(F.col("blank").cast("int")).over(order)).where(~F.col("blank")).drop("blank")
-    seg = Window.partitionBy(*KEY, "seg").orderBy("origin")
-    before = seg.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("first", F.row_number().over(seg) == 1)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    lines = flagged.withColumn("first", F.coalesce(F.lag("blank").over(order), F.lit(True))).where(~F.col("blank"))
     margin = ~F.col("indented") & ~F.col("gutter")
+    # indented lines so far that follow another line of their block's stretch
     lines = lines.withColumn("c", F.coalesce(F.sum((F.col("indented") & ~F.col("first")).cast("int")).over(before), F.lit(0)))
-    seen = F.coalesce(F.last(F.when(margin, F.col("c")), ignorenulls=True).over(before), F.lit(0))
-    boundary = F.col("first") | (margin & (F.col("c") > seen))
-    lines = lines.withColumn("boundary", boundary)
-    return lines.withColumn("block", F.sum(F.col("boundary").cast("int")).over(order)).drop("seg", "first", "c", "boundary", "indented", "gutter")
+    seen = F.last(F.when(margin | F.col("first"), F.col("c")), ignorenulls=True).over(before)
+    lines = lines.withColumn("boundary", F.col("first") | (margin & (F.col("c") > seen)))
+    return lines.withColumn("block", F.sum(F.col("boundary").cast("int")).over(order)).drop("first", "c", "boundary", "blank", "indented", "gutter")
 
 
 def split_repeats(lines: DataFrame) -> DataFrame:
@@ -33,14 +31,14 @@ def split_repeats(lines: DataFrame) -> DataFrame:
     The run's first line becomes a block of its own that carries ``repeats``; the other
     copies become a dropped block (``copies``). Blocks are numbered anew.
     """
-    block = Window.partitionBy(*KEY, "block")
-    order = block.orderBy("origin")
-    lines = lines.withColumn("all_progress", F.min("progress").over(block))
-    lines = lines.withColumn("_new", F.coalesce(F.col("text") != F.lag("text").over(order), F.lit(True)).cast("int"))
+    order = Window.partitionBy(*KEY, "block").orderBy("origin")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    new = F.coalesce(F.col("text") != F.lag("text").over(order), F.lit(True)).cast("int")
+    lines = lines.select("*", F.min("progress").over(whole).alias("all_progress"), new.alias("_new"), (F.row_number().over(order) == 1).alias("_first"))
     lines = lines.withColumn("_run", F.sum("_new").over(order))
-    run = Window.partitionBy(*KEY, "block", "_run")
-    lines = lines.withColumn("_n", F.count("*").over(run)).withColumn("_at", F.row_number().over(run.orderBy("origin")))
-    lines = lines.withColumn("_was", F.lag("_n").over(order)).withColumn("_first", F.row_number().over(order) == 1)
+    run = Window.partitionBy(*KEY, "block", "_run").orderBy("origin")
+    lines = lines.select("*", F.count("*").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"), F.row_number().over(run).alias("_at"))
+    lines = lines.withColumn("_was", F.lag("_n").over(order))
     long = (F.col("_n") >= 3) & ~F.col("all_progress")
     after = (F.col("_at") == 1) & (F.coalesce(F.col("_was"), F.lit(0)) >= 3) & ~F.col("all_progress")
     starts = F.col("_first") | (long & F.col("_at").isin(1, 2)) | after

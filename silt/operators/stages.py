@@ -21,14 +21,14 @@ CONTEXT = 3
 
 
 
-def whole() -> WindowSpec:
-    """All blocks of a stream."""
-    return Window.partitionBy(*KEY)
-
-
 def ordered() -> WindowSpec:
     """The blocks of a stream in order."""
-    return whole().orderBy("block")
+    return Window.partitionBy(*KEY).orderBy("block")
+
+
+def whole() -> WindowSpec:
+    """All blocks of a stream; in the same order, so that one sort serves both."""
+    return ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def kept() -> Column:
@@ -63,7 +63,7 @@ def collapse_adjacent(blocks: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("_text", F.transform("lines", lambda x: x["text"]))
     same = kept() & (F.lag("keep").over(ordered()) != "Drop") & (F.col("_text") == F.lag("_text").over(ordered()))
     blocks = blocks.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(ordered()))
-    run = Window.partitionBy(*KEY, "_run")
+    run = Window.partitionBy(*KEY, "_run").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = blocks.withColumn("_n", F.count("*").over(run))
     copy, survivor = F.col("_new") == 0, (F.col("_new") == 1) & (F.col("_n") > 1)
     blocks = blocks.withColumn("lines", annotate(F.col("lines"), F.when(survivor, F.col("_n"))))
@@ -124,7 +124,7 @@ def failure_floor(blocks: DataFrame) -> DataFrame:
     """
     silent = F.max(is_failure().cast("int")).over(whole()) == 0
     depth = F.when(F.col("stream") == "stderr", FLOOR["stderr"]).otherwise(FLOOR["stdout"])
-    last = F.row_number().over(whole().orderBy(F.desc("block"))) <= depth
+    last = F.count("*").over(whole()) - F.row_number().over(ordered()) < depth
     return _force(blocks, (F.col("exit_code") != 0) & silent & last & (F.col("class") != "Progress"))
 
 
