@@ -11,9 +11,11 @@ sends one small wrapper from each partition; these are aligned in groups, and th
 in turn, so that no task gathers them all. Slots carry
 the characters seen in them and in links. A slot is main text where its containers are
 not menus, headers, footers, sidebars, notices, adverts, forms or comments, and it lies
-in the wrapper's article; a host without an article has as its main text the container
-that holds most of the text outside of links. Pages are then read through the wrapper:
-every text token has its slot's verdict.
+in an article. Pages without text in an article are grouped by template, the set of
+container paths that hold their text: each page votes once, whatever its length, for the
+deepest container with most of its text outside of links, and against the containers
+with more text in links than outside; its template's verdict holds. Pages of no host,
+and pages that the verdict would leave without text, go by their own vote alone.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -220,14 +223,19 @@ def merge(a: tuple, b: tuple) -> tuple:
 
 
 class Wrapper:
-    """A host's wrapper and the text seen in its slots, by the path of containers."""
+    """A host's wrapper, the text seen in its slots, by the path of containers, and the
+    votes of its templates."""
 
-    def __init__(self, items: tuple = (), slots: dict | None = None, streams: set | None = None):
-        self.items, self.slots, self.streams = items, slots or {}, streams or set()
+    def __init__(self, items: tuple = (), slots: dict | None = None, streams: set | None = None, templates: dict | None = None):
+        self.items, self.slots, self.streams, self.templates = items, slots or {}, streams or set(), templates or {}
 
     def add(self, page: str) -> None:
         stream: list = []
-        for kind, what in read(page):
+        seen = list(read(page))
+        sizes = _sizes(seen)
+        if sizes and not any(_in_article(p) for p in sizes):
+            self._vote(template(sizes), {_region(sizes): 1}, {p: 1 if link > plain else -1 for p, (plain, link) in sizes.items()})
+        for kind, what in seen:
             if kind == "text":
                 path, link, raw = what
                 size = len(raw) if not raw.isspace() else 0
@@ -251,36 +259,72 @@ class Wrapper:
             self.items = collapse(merge(self.items, items)) if self.items else items
 
     def dump(self) -> str:
-        return json.dumps([self.items, sorted([list(k), *v] for k, v in self.slots.items())], ensure_ascii=False, separators=(",", ":"))
+        votes = sorted([t, *(sorted([list(k), n] for k, n in v.items()) for v in both)] for t, both in self.templates.items())
+        return json.dumps([self.items, sorted([list(k), *v] for k, v in self.slots.items()), votes], ensure_ascii=False, separators=(",", ":"))
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        items, slots = json.loads(text)
+        items, slots, votes = json.loads(text)
         tuples = lambda x: tuple(tuples(y) for y in x) if isinstance(x, list) else x
-        return cls(tuples(items), {tuple(k): [a, b] for k, a, b in slots})
+        counts = lambda pairs: {tuple(k): n for k, n in pairs}
+        return cls(tuples(items), {tuple(k): [a, b] for k, a, b in slots}, templates={t: (counts(r), counts(k)) for t, r, k in votes})
+
+    def _vote(self, mark: str, regions: dict, links: dict) -> None:
+        for own, more in zip(self.templates.setdefault(mark, ({}, {})), (regions, links), strict=True):
+            for p, n in more.items():
+                own[p] = own.get(p, 0) + n
 
     def join(self, other: Wrapper) -> None:
         for k, (a, b) in other.slots.items():
             slot = self.slots.setdefault(k, [0, 0])
             slot[0] += a
             slot[1] += b
+        for mark, votes in other.templates.items():
+            self._vote(mark, *votes)
         self.fold(other.items)
 
-    def main(self) -> tuple[set, set]:
-        """Paths of the slots that hold main text: in articles, and for pages without."""
-        fine = {p: v for p, v in self.slots.items() if not _drops(p)}
-        articles = {p for p in fine if any(_is_article(k) for k in p)}
-        fine = {p: v for p, v in fine.items() if p not in articles}
-        inside: dict[tuple, int] = {}
-        for p, (plain, _) in fine.items():
-            for n in range(1, len(p) + 1):
-                inside[p[:n]] = inside.get(p[:n], 0) + plain
-        total = sum(plain for plain, _ in fine.values())
-        # the deepest container that holds most of the text outside of links
-        region = max((p for p, n in inside.items() if 2 * n > total), key=len, default=())
-        return articles, {p for p, (plain, link) in fine.items() if p[: len(region)] == region and plain >= link}
+    def main(self) -> dict[str, list]:
+        """Paths that hold main text on the pages of each template without an article."""
+        return {mark: _chosen(max(regions, key=lambda p: (regions[p], len(p), p)), links) for mark, (regions, links) in self.templates.items()}
+
+
+def _region(sizes: dict[tuple, list[int]]) -> tuple:
+    """The deepest container that holds over half of the text outside of links, or of all
+    text where every text is a link."""
+    inside: dict[tuple, int] = {}
+    whole = not any(plain for plain, _ in sizes.values())
+    for p, (plain, link) in sizes.items():
+        for n in range(len(p) + 1):
+            inside[p[:n]] = inside.get(p[:n], 0) + (link if whole else plain)
+    return max((p for p, n in inside.items() if 2 * n > inside[()]), key=len, default=())
+
+
+def _chosen(region: tuple, links: dict[tuple, int]) -> list[tuple]:
+    """Paths of the region but those that more pages than not have mostly in links, unless all are."""
+    within = sorted(p for p in links if p[: len(region)] == region)
+    return [p for p in within if links[p] <= 0] or within
+
+
+def template(sizes: dict[tuple, list[int]]) -> str:
+    """A mark of the set of container paths that hold a page's text."""
+    return blake2b(json.dumps(sorted(sizes)).encode(), digest_size=12).hexdigest()
+
+
+def _sizes(seen: list) -> dict[tuple, list[int]]:
+    """Characters outside of and in links, by path, of a page's text that is no boilerplate."""
+    sizes: dict[tuple, list[int]] = {}
+    for kind, what in seen:
+        if kind == "text" and not what[2].isspace() and not _drops(what[0]):
+            sizes.setdefault(what[0], [0, 0])[what[1]] += len(what[2])
+    return sizes
 
 
+@lru_cache(maxsize=65536)
+def _in_article(path: tuple) -> bool:
+    return any(_is_article(k) for k in path) and not _drops(path)
+
+
+@lru_cache(maxsize=65536)
 def _drops(path: tuple) -> bool:
     """Whether a container of the path is boilerplate; an article keeps its own header."""
     within = False
@@ -291,37 +335,44 @@ def _drops(path: tuple) -> bool:
     return False
 
 
-def extract(page: str, main: tuple[set, set]) -> str:
-    """The text in main slots: references decoded, blocks trimmed and joined by \\n.
+def _text(seen: list, paths) -> str:
+    """The text at the paths that ``paths`` holds of a page that was read."""
+    blocks: list[str] = []
+    parts: list[str] = []
+    for kind, what in (*seen, ("block", None)):
+        if kind == "text":
+            if paths(what[0]):
+                parts.append(what[2])
+        elif parts:
+            line = " ".join(entities.unescape("".join(parts)).split())
+            if line:
+                blocks.append(line)
+            parts = []
+    return "\n".join(blocks)
 
-    A page with text in its host's article slots has those alone as its main text.
+
+def extract(page: str, main: dict[str, frozenset]) -> str:
+    """The text in main slots: references decoded, blocks trimmed and joined by \n.
+
+    A page with text in an article has that alone as its main text; another goes by its
+    template's paths in ``main``, or by its own vote where those are unknown or hold no text.
     """
-    found: tuple[list[str], list[str]] = ([], [])
-    now: tuple[list[str], list[str]] = ([], [])
-
-    def close() -> None:
-        for blocks, parts in zip(found, now, strict=True):
-            if parts:
-                line = " ".join(entities.unescape("".join(parts)).split())
-                if line:
-                    blocks.append(line)
-                parts.clear()
-
-    for kind, what in read(page):
-        if kind == "text":
-            for parts, paths in zip(now, main, strict=True):
-                if what[0] in paths:
-                    parts.append(what[2])
-        else:
-            close()
-    close()
-    return "\n".join(found[0] or found[1])
+    seen = list(read(page))
+    if found := _text(seen, _in_article):
+        return found
+    sizes = {p: v for p, v in _sizes(seen).items() if not _in_article(p)}
+    if not sizes:
+        return ""
+    chosen = main.get(template(sizes))
+    if chosen and (found := _text(seen, chosen.__contains__)):
+        return found
+    own = _chosen(_region(sizes), {p: 1 if link > plain else -1 for p, (plain, link) in sizes.items()})
+    return _text(seen, set(own).__contains__) or _text(seen, sizes.__contains__)
 
 
-@lru_cache(maxsize=4096)
-def _paths(main: str) -> tuple[frozenset, frozenset]:
-    articles, rest = json.loads(main)
-    return frozenset(map(tuple, articles)), frozenset(map(tuple, rest))
+@lru_cache(maxsize=256)
+def _paths(main: str) -> dict[str, frozenset]:
+    return {mark: frozenset(map(tuple, paths)) for mark, paths in json.loads(main).items()}
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,6 +387,8 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url, page in zip(as_utf8(batch.column(0)).to_pylist(), as_utf8(batch.column(1)).to_pylist(), strict=True):
             host = parts(url)[0]
+            if not host:
+                continue  # pages of no host have no wrapper in common
             if host not in held:
                 if len(held) >= HOSTS_HELD:
                     yield flush()
@@ -348,13 +401,13 @@ def _align(table: pa.Table) -> pa.Table:
     whole = Wrapper()
     for text in sorted(table.column("wrapper").to_pylist()):
         whole.join(Wrapper.load(text))
-    main = json.dumps([sorted(paths) for paths in whole.main()], ensure_ascii=False)
+    main = json.dumps(whole.main(), ensure_ascii=False, sort_keys=True)
     return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([whole.dump()], pa.string()), "main": pa.array([main], pa.string())})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, main) of every host, inferred from all of its pages; main lists the
-    paths of the slots that hold main text."""
+    paths that hold main text on each template's pages without an article."""
     bounded_batches(pages.sparkSession)
     part = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_infer, "host string, part int, wrapper string")
     part = part.groupBy("host", "part").applyInArrow(_align, "host string, wrapper string, main string")
@@ -365,8 +418,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id, url, text, n_chars) of every row of ``pages``.
 
     text holds the blocks of main text joined by newlines, n_chars its code points.
-    Null and empty html give an empty text; pages whose url is null or has no host share
-    a wrapper; rows with a null or repeated id are read like any other; an empty table
+    Null and empty html give an empty text; pages whose url is null or has no host are
+    read each by itself; rows with a null or repeated id are read like any other; an empty table
     gives no rows; other columns are ignored.
     """
     fresh(pages, id_col, url_col, html_col)
@@ -380,7 +433,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(p, _paths(m or "[[],[]]")) for p, m in zip(as_utf8(batch.column(2)).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(p, _paths(m or "{}")) for p, m in zip(as_utf8(batch.column(2)).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

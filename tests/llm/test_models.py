@@ -195,6 +195,18 @@ def test_mixed_host(spark):
     assert got[1]["text"] == "in article" and got[2]["text"] == "no article here, but text\nunclosed"
 
 
+def test_host_of_two_templates(spark):
+    """Each template keeps its own region, whatever other pages or other sites are like."""
+    body = '<html><body><div class="{c}"><p>words {n}</p></div><div class="x"><a href="/">more {n}</a></div></body></html>'
+    rows = [(n, f"http://two.org/{n}", body.format(c="content" if n % 5 < 3 else "post", n=n)) for n in range(20)]
+    rows += [(50, "http://two.org/long", '<html><body><div class="giant"><p>' + "long " * 50_000 + "</p></div></body></html>")]
+    rows += [(60 + n, None, body.format(c=f"site{'abc'[n]}", n=60 + n)) for n in range(3)]
+    rows += [(70, "http://two.org/list", '<html><body><div class="list"><p><a href="/a">only</a></p><p><a href="/b">links</a></p></div></body></html>')]
+    got = main(spark, rows)
+    assert all(got[n]["text"] == f"words {n}" for n in (*range(20), 60, 61, 62))
+    assert got[50]["n_chars"] == 5 * 50_000 - 1 and got[70]["text"] == "only\nlinks"
+
+
 def test_wrapper_alignment():
     a = html.collapse(("h1", "#", "p", "#", "/p", "p", "#", "/p", "p", "#", "/p"))
     assert a == ("h1", "#", ("+", ("p", "#", "/p")))
