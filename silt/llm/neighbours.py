@@ -3,7 +3,9 @@
 Unit vectors are assigned to the nearest of a set of coarse centroids; what is left of
 them is quantised part by part. A query looks into the lists of its nearest centroids,
 ranks their members by table look-ups of its products with the quantised parts
-(asymmetric distances), and reranks the best exactly, in double precision.
+(asymmetric distances), and reranks the best exactly, in double precision; so it does
+all others whose score could reach the k-th best's within their quantisation error, so
+that members of equal codes are never told apart by anything but their vectors.
 
 Lists are cut into chunks of bounded size by a hash of the member's id, and each
 chunk's queries into blocks, so that no list, however full, is gathered in one task.
@@ -30,13 +32,16 @@ MAX_LISTS = 1024
 PROBE_SHARE = 0.7
 #: Rows that a query's lists must hold together, if there are so many.
 LEAST_ROWS = 1000
-#: Parts of a residual, values of each, and members of a chunk reranked exactly.
+#: Parts of a residual, values of each, and members of a chunk reranked exactly at first;
+#: the k-th best of these sets the score that all others are held against.
 PARTS = 16
 VALUES = 256
 RERANK = 256
 CHUNK_ROWS = 8192
 BLOCK_QUERIES = 2048
 ROUNDS = 12
+#: More than what double precision loses in a product of unit vectors.
+ROUNDING = 1e-9
 
 
 class Index(NamedTuple):
@@ -146,6 +151,12 @@ def _search(index: Index, d: int, k: int):
             x = _matrix(members.column("vector").combine_chunks(), d)[order]
             codes = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             centre = index.coarse[members.column("list")[0].as_py()]
+            units = _unit(x)
+            rest = units - centre
+            for j, (a, b) in enumerate(zip(index.cuts, index.cuts[1:], strict=False)):
+                rest[:, a:b] -= index.values[j][codes[:, j]]
+            # no product with a unit vector is further than this from the one of the codes
+            error = np.sqrt((rest * rest).sum(axis=1)) + ROUNDING
             qs = _matrix(queries.column("query").combine_chunks(), d)
             for qid, q, u in zip(queries.column("query_id").to_pylist(), qs, _unit(qs), strict=True):
                 near = np.full(len(ids), u @ centre)
@@ -156,6 +167,12 @@ def _search(index: Index, d: int, k: int):
                 best = best[ids[best] != qid]
                 if len(best):
                     s = cosine(q, x[best])
+                    least = np.partition(s, -k)[-k] if len(s) >= k else -np.inf
+                    open_ = (near + error >= least - ROUNDING) & (ids != qid)
+                    open_[best] = False
+                    if open_.any():
+                        more = np.flatnonzero(open_ & (units @ u >= least - ROUNDING))
+                        best, s = np.concatenate((best, more)), np.concatenate((s, cosine(q, x[more])))
                     top = np.lexsort((ids[best], -s))[:k]
                     out.append((np.full(len(top), qid), ids[best][top], s[top]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]

@@ -128,6 +128,21 @@ def test_crowded_lists(spark, monkeypatch):
     assert len(pairs & want) >= 0.9 * len(want)
 
 
+def test_near_copies_in_full_chunks(spark):
+    """Thousands of near copies in one list: their codes coincide, their vectors do not."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 8))
+    x[:4000] = x[0] + 1e-3 * rng.normal(size=(4000, 8))
+    x = np.float32(x)
+    rows = [(k, v, 0, 0) for k, v in enumerate(x.tolist())]
+    got = neighbours.search(vectors(spark, rows), (F.col("vec_id") % 100 == 0) & (F.col("vec_id") < 4000)).select("query_id", "vec_id").collect()
+    wide = x.astype(float)
+    wide /= np.sqrt((wide * wide).sum(axis=1))[:, None]
+    want = {(i, int(j)) for i in range(0, 4000, 100) for j in np.argsort(-np.where(np.arange(len(x)) == i, -2, wide @ wide[i]), kind="stable")[:5]}
+    recall = len({(r["query_id"], r["vec_id"]) for r in got} & want) / len(want)
+    assert recall >= 0.99
+
+
 # -- urls ------------------------------------------------------------------------------
 
 
