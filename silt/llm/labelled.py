@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -29,11 +29,22 @@ def sample(labels: DataFrame, id_col: str, label_col: str, train: Column, per_cl
 
 
 def within(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, chars: int) -> DataFrame:
-    """The chosen rows, in order of hash, until each class has ``chars`` characters of text."""
-    sizes = docs.select(F.col(id_col).alias("id"), F.length(text_col).cast("long").alias("n")).join(F.broadcast(chosen), "id")
-    per = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    kept = materialize(sizes, "labelled-sizes").withColumn("sum", F.sum("n").over(per)).where((F.col("sum") <= chars) | F.col("sum").isNull())
-    return materialize(kept.select("id", "y"), "labelled")
+    """The chosen rows, in order of hash, that fit in ``chars`` characters of text a class.
+
+    A row that does not fit is passed over and the next ones tried; a class of which no
+    row fits keeps its shortest. The sizes, one a chosen id, are at most as many as
+    ``chosen`` has rows, so they are looked through in the driver.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.length(text_col).cast("long").alias("n")).join(F.broadcast(chosen.distinct()), "id")
+    sizes = rows.groupBy("id", "y").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).orderBy("y", F.xxhash64("id"), "id").collect()
+    left, kept = {0: chars, 1: chars}, []
+    for r in sizes:
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            kept.append((r["id"], r["y"]))
+    for y in {r["y"] for r in sizes} - {y for _, y in kept}:
+        kept.append(min(((r["n"], r["id"]) for r in sizes if r["y"] == y))[1:] + (y,))
+    return materialize(docs.sparkSession.createDataFrame(kept, chosen.select("id", "y").schema), "labelled")
 
 
 def with_labels(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:

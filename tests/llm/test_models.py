@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from silt.llm import html, neighbours, quality, queries, simhash, toxicity, urls
+from silt.llm import html, labelled, neighbours, quality, queries, simhash, toxicity, urls
 from silt.llm import decontaminate as D
 
 SF = "/root/testdata/sf0.01"
@@ -56,6 +56,16 @@ def test_classifier_odd_rows(spark, module, label):
     assert none is None and {r["score"] for r in module.score(docs, None).collect()} == {0.5}
 
 
+def test_giant_text_leaves_the_rest(spark):
+    """A text over the bound is passed over; the rows after it stay in the sample."""
+    rows = [(n, "x" * (500 if n in (3, 8) else 10)) for n in range(20)]
+    docs, chosen = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(n, n % 2) for n in range(20)], "id long, y int")
+    kept = {r["id"] for r in labelled.within(docs, chosen, "doc_id", "text", 200).collect()}
+    assert kept == set(range(20)) - {3, 8}
+    alone = chosen.where("id = 3 or id in (0, 2)")
+    assert {r["id"] for r in labelled.within(docs, alone, "doc_id", "text", 200).collect()} == {0, 2, 3}
+
+
 def test_labels_and_columns_are_no_inputs(spark):
     docs, labels = small(spark)
     model = quality.train(docs, labels)
