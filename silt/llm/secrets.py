@@ -8,15 +8,22 @@ serial correlation. Each is standardised and their root mean square is the token
 score: near 1 or less where random, large where words repeat letters.
 
 What counts as low is learned from the whole corpus with false-discovery control that
-knows length. Ordinary tokens (letters of one case, or capitalised) are the null; a
-suspect's p-value is the share of ordinary tokens of at most its length class that score
-as low (longer ordinary tokens only score higher). Benjamini-Hochberg then sets one
+knows length. Ordinary tokens (letters of one case, or capitalised) are the null,
+filled up to ``REFERENCE`` in each length class by a fixed reference of words run
+together, so that a verdict does not need a corpus with long words; a suspect's p-value
+is the share of this null, with ordinary tokens of at most its class, that scores as low
+(longer ordinary tokens only score higher). Benjamini-Hochberg then sets one
 score limit for each length class. Scores are counted in steps of ``STEP``, so the
 statistics of any corpus are a table of bounded size.
 """
 
 from __future__ import annotations
 
+import math
+import random as draws
+from collections import Counter
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +66,17 @@ ALPHABETS = [
 ]
 ANY = DIGITS + UPPER + LOWER + "+/-_"
 
+#: Tokens of the reference null in each length class; their words, common ones of English.
+REFERENCE = 1000
+REFERENCE_WORDS = """about after again against always another because become before begin between both change
+children city close company could country course develop different during early every example family feel find first
+follow general good government great group hand have head high home house however important increase interest just keep
+know large last late lead leave life line little long make many mean might most move much must name national need never
+next night number often only open order other over part people person place plan point possible present problem program
+public question really right same school seem several should show since small social some stand start state still student
+such system take tell than that their them then there these they thing think this those though through time together turn
+under until very want water well what when where which while with without woman word work world would write year young"""
+
 SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -127,6 +145,34 @@ def randomness(token: Column) -> Column:
     return _let(_symbols(token), score)
 
 
+def reference_score(token: str) -> float:
+    """``randomness`` of a token of lower-case letters."""
+    x, k, n = [ord(c) - 96 for c in token], 26, len(token)
+    uniform = (sum(c * c for c in Counter(x).values()) * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    middle, variance = (k + 1) / 2, (k * k - 1) / 12
+    high = sum(c > middle for c in x)
+    mean = 2 * high * (n - high) / n
+    spread = mean * (mean - 1) / (n - 1)
+    flips = sum((a > middle) != (b > middle) for a, b in zip(x, x[1:], strict=False))
+    runs = (flips - mean) / math.sqrt(spread) if spread > 0 else math.sqrt(n)
+    serial = sum((a - middle) * (b - middle) for a, b in zip(x, x[1:], strict=False)) / (variance * math.sqrt(n - 1))
+    return math.sqrt((uniform**2 + runs**2 + serial**2) / 3)
+
+
+@lru_cache(maxsize=1)
+def _reference() -> str:
+    """group:level:count of the reference null, comma-joined; the same on every run."""
+    rng, words, counts = draws.Random(17), REFERENCE_WORDS.split(), Counter()
+    for group in range(CLASSES):
+        least = math.ceil(TOKEN_CHARS * CLASS_BASE**group)
+        for _ in range(REFERENCE):
+            text = ""
+            while len(text) < least:
+                text += rng.choice(words)
+            counts[group, min(math.ceil(reference_score(text[:least]) / STEP), LEVELS)] += 1
+    return ",".join(f"{g}:{v}:{n}" for (g, v), n in sorted(counts.items()))
+
+
 def _tokens(text: Column) -> Column:
     """Judged tokens: span, length class, score step, and whether ordinary."""
 
@@ -150,11 +196,17 @@ def limits(tokens: DataFrame, fdr: float = FDR) -> DataFrame:
     # an ordinary token stands for its own length class and all longer ones
     wider = F.explode(F.sequence("group", F.lit(CLASSES - 1))).alias("group")
     spread = counts.select(wider, "level", "plain").withColumn("suspect", F.lit(0).cast("long"))
-    rows = spread.unionByName(counts.select("group", "level", F.lit(0).cast("long").alias("plain"), "suspect")).groupBy("group", "level").agg(F.sum("plain").alias("plain"), F.sum("suspect").alias("suspect"))
+    part = F.split("r", ":")
+    fixed = tokens.sparkSession.range(1).select(F.explode(F.split(F.lit(_reference()), ",")).alias("r"))
+    fixed = fixed.select(part[0].cast("int").alias("group"), part[1].cast("int").alias("level"), F.lit(0).cast("long").alias("plain"), F.lit(0).cast("long").alias("suspect"), part[2].cast("long").alias("fixed"))
+    own = spread.unionByName(counts.select("group", "level", F.lit(0).cast("long").alias("plain"), "suspect")).withColumn("fixed", F.lit(0).cast("long"))
+    rows = own.unionByName(fixed).groupBy("group", "level").agg(*(F.sum(c).alias(c) for c in ("plain", "suspect", "fixed")))
     whole = Window.partitionBy("group")
     upto = whole.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    judged = rows.select("group", "level", *(F.sum(c).over(w).alias(f"{n}_{c}") for n, w in (("all", whole), ("low", upto)) for c in ("plain", "suspect")))
-    p = (F.col("low_plain") + 1) / (F.col("all_plain") + 1)
+    judged = rows.select("group", "level", *(F.sum(c).over(w).alias(f"{n}_{c}") for n, w in (("all", whole), ("low", upto)) for c in ("plain", "suspect", "fixed")))
+    # the reference only fills up what the corpus lacks
+    share = F.greatest(F.lit(0), REFERENCE - F.col("all_plain")) / F.lit(float(REFERENCE))
+    p = (F.col("low_plain") + share * F.col("low_fixed") + 1) / (F.col("all_plain") + share * F.col("all_fixed") + 1)
     return judged.where((p * F.col("all_suspect") <= fdr * F.col("low_suspect")) & (F.col("low_suspect") > 0)).groupBy("group").agg(F.max("level").alias("level"))
 
 

@@ -306,6 +306,18 @@ def test_random_tokens(spark):
     assert all(texts[i][s["s"] : s["e"]] == planted[i] for i in found & set(planted) for s in got[i])
 
 
+def test_random_tokens_without_long_words(spark):
+    """A key is found in a corpus with no ordinary long token; a plain identifier is not."""
+    rng = random.Random(12)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
+    texts = [f"the key is {key} here", "no long words at all", "see some_identifier_of_the_configuration_file_that_was_written_there"]
+    got = {r["doc_id"]: [(s["s"], s["e"]) for s in r["random"]] for r in secrets.scan(frame(spark, enumerate(texts))).collect()}
+    assert got == {0: [(11, 75)], 1: [], 2: []}
+    words = [(n, w) for n, w in enumerate(["configurationofthesystem", "a" * 30 + "z", "internationalisationswithoutend"])]
+    scores = {r["doc_id"]: r["x"] for r in frame(spark, words).select("doc_id", secrets.randomness(F.col("text")).alias("x")).collect()}
+    assert all(abs(scores[n] - secrets.reference_score(w)) < 1e-9 for n, w in words)
+
+
 def test_redact(spark):
     texts = secret_texts()
     docs = frame(spark, [*enumerate(texts), (None, "token=abcdefgh x")])
