@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh, materialize
-from .words import as_utf8
+from .words import as_utf8, slices, split
 
 LENGTH = 2048
 END_ID = 1
 #: Texts of each task whose ids from the fast encoder are held against the tokenizer's.
 PROBES = 8
+#: Bytes of white space alone, or without any, beyond which the tokenizer itself makes a text's ids.
+STRETCH = 5_000
 #: Partition totals (16 bytes each) up to which they are broadcast, 32 MB.
 BROADCAST_ROWS = 2_000_000
 
@@ -48,26 +50,32 @@ def _ranks(path: str, pattern: str):
 
 
 def encoder(tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
-    """A function from texts to lists of ids, special tokens not added.
+    """A function from an Arrow string array to lists of ids, special tokens not added.
 
     The tokenizer file defines the ids. With the same vocabulary as ranks, a faster
-    encoder makes them; texts that hold one of the tokenizer's special strings go to
-    the tokenizer itself, and the first texts of every task are encoded by both and
-    compared, so that files which disagree fail the job.
+    encoder makes those of ordinary texts, for which the two are proved equal: every token
+    of the vocabulary is its own encoding, merges and ranks have one order, and all code
+    points part words alike (tests hold all three). Other texts go to the tokenizer: those
+    with one of its special strings, and those with a stretch of over ``STRETCH`` bytes
+    of white space alone or without any, which can exhaust the faster one's stack. The
+    first texts of every task are encoded by both, so that files which disagree fail.
     """
     slow = _tokenizer(tokenizer_path)
+    plain = lambda texts: [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
     if not ranks_path:
-        return lambda texts: [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)]
+        return lambda column: plain(column.to_pylist())
     fast = _ranks(ranks_path, pattern)
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
     probes = PROBES
 
-    def encode(texts: list[str]) -> list[list[int]]:
+    def encode(column: pa.Array) -> list[list[int]]:
         nonlocal probes
-        out = [slow.encode(t, add_special_tokens=False).ids if any(x in t for x in special) else fast.encode_ordinary(t) for t in texts]
+        out = []
+        for t, long in zip(column.to_pylist(), stretched(column).tolist(), strict=True):
+            out.append(plain([t])[0] if long or any(x in t for x in special) else fast.encode_ordinary(t))
         if probes:
-            some = texts[:probes]
-            if out[: len(some)] != [x.ids for x in slow.encode_batch(some, add_special_tokens=False)]:
+            some = column.slice(0, probes).to_pylist()
+            if out[: len(some)] != plain(some):
                 raise ValueError("the ranks give other ids than the tokenizer file")
             probes -= len(some)
         return out
@@ -75,11 +83,30 @@ def encoder(tokenizer_path: str, ranks_path: str | None = None, pattern: str | N
     return encode
 
 
+def stretched(texts: pa.Array, limit: int = STRETCH) -> np.ndarray:
+    """Whether each text has over ``limit`` bytes in a row of ASCII white space, or of other bytes."""
+    out = np.zeros(len(texts), bool)
+    for a, b in slices(texts):
+        w = split(texts, a, b)
+        size = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset + a : texts.offset + b + 1])
+        if size.max(initial=0) <= limit:
+            continue
+        edge = np.cumsum(size)
+        words, spaces = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+        np.maximum.at(words, w.doc, w.end - w.start)
+        # white space before each word, from the word or the text's start before it, and after a text's last word
+        before = np.concatenate(([0], w.end[:-1])) if len(w.end) else w.end
+        np.maximum.at(spaces, w.doc, w.start - np.maximum(before, (edge - size)[w.doc]))
+        last = np.where(np.diff(w.first) > 0, w.end[np.maximum(w.first[1:] - 1, 0)] if len(w.end) else 0, edge - size)
+        out[a:b] = (words > limit) | (np.maximum(spaces, edge - last) > limit)
+    return out
+
+
 def _tokens(make_encoder, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = make_encoder(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = encode(as_utf8(batch.column(1)).to_pylist())
+            ids = encode(as_utf8(batch.column(1)))
             n = np.array([len(x) + 1 for x in ids], np.int64)
             raw = [np.array([*x, end_id], "<u4").tobytes() for x in ids]
             start = at + np.cumsum(n) - n

@@ -204,7 +204,46 @@ def test_packing_refuses_other_ranks(spark, tmp_path):
     other.write_bytes(b"\n".join(lines))
     encode = packing.encoder(files["tokenizer_path"], str(other), files["pattern"])
     with pytest.raises(ValueError, match="other ids"):
-        encode(["b c"])
+        encode(pa.array(["b c"]))
+
+
+def test_fast_ids_are_the_tokenizers(spark):
+    """What makes the two encoders equal on every ordinary text, part by part."""
+    import base64
+    import json
+
+    from tokenizers import Tokenizer
+
+    files = queries.tokenizer()
+    slow, fast = Tokenizer.from_file(files["tokenizer_path"]), packing._ranks(files["ranks_path"], files["pattern"])
+    model = json.load(open(files["tokenizer_path"]))["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    assert [model["vocab"][a + b] for a, b in merges] == sorted(model["vocab"][a + b] for a, b in merges)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(files["ranks_path"], "rb"))}
+    assert sorted(ranks.values()) == sorted(model["vocab"].values())
+    for token, i in model["vocab"].items():
+        assert [x.id for x in slow.model.tokenize(token)] == [i]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        # a point beside a letter, a digit, a mark and white space: its class decides where words part
+        texts = [f"a{c}b 1{c}2 !{c}? {c} {c}{c}  {c}" for c in points[k : k + 50_000]]
+        assert [x.ids for x in slow.encode_batch(texts, add_special_tokens=False)] == [fast.encode_ordinary(t) for t in texts]
+
+
+def test_packing_of_very_long_texts(spark):
+    """Texts of one class of characters, where the fast encoder would run out of stack."""
+    from tokenizers import Tokenizer
+
+    files = queries.tokenizer()
+    slow = Tokenizer.from_file(files["tokenizer_path"])
+    n = 1_000_000
+    texts = [" " * 5 * n, "\n" * n, "a" * n, "ab1" * n, "\u3000" * n, " " * packing.STRETCH, "a" + " " * (packing.STRETCH + 1) + "b", None, "x", "日本" * n, "<>" * n]
+    got = packing.stretched(words.as_utf8(pa.array(texts)))
+    assert got.tolist() == [True, True, True, True, True, False, True, False, False, True, True]
+    rows = packing.pack(frame(spark, enumerate(texts)).repartition(4), **files).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r["start"], bytes(r["ids"])) for r in rows if r["doc_id"] == i)
+        assert b"".join(x for _, x in own) == np.array([*slow.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
 
 
 # -- decontamination -------------------------------------------------------------------
