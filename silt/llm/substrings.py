@@ -12,11 +12,15 @@ Three Spark rounds use the names:
    more) are counted. Symbols that occur twice are joined back to their documents.
 2. Words under a long symbol that occurs twice are repeated, with no further work. A
    window is a candidate if its anchor is repeated, or if it has no anchor that its
-   words alone determine; only candidates are hashed (128 bits). Of a long symbol's
+   words alone determine; only candidates are digested. Of a long symbol's
    occurrences, the host of least id alone hashes the windows inside it, for windows
    that also start outside any occurrence; copies are thus hashed once and not each.
 3. Candidates whose hash occurs twice are joined back; their words are repeated.
 
+Names only choose candidates, so two words of one hash cost time and nothing else. What
+is removed is decided by letters: windows and long symbols are equal if 128 bits of
+BLAKE2b over their words, joined by spaces, are.
+
 The symbols that a window's words alone determine are tracked through the rounds; its
 anchor is the few neighbours of least hash among them. So a window that occurs twice has an anchor
 that occurs twice, or is a candidate outright: no repeat is missed, whatever the text.
@@ -25,6 +29,7 @@ that occurs twice, or is a candidate outright: no repeat is missed, whatever the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, fresh, materialize
-from .words import Words, as_utf8, hashes, mix, powers, slices, split, window_hashes
+from .words import Words, as_utf8, hashes, mix, slices, split
 
 WINDOW = 35
 #: Pair rounds before the anchors are taken, and the words an anchor may have.
@@ -99,6 +104,27 @@ class Parse(NamedTuple):
     long_end: np.ndarray
 
 
+class Letters:
+    """The words of some texts joined by single spaces, to be compared by their letters."""
+
+    def __init__(self, w: Words):
+        size = w.end - w.start
+        self.end = np.cumsum(size + 1) - 1
+        self.start = self.end - size
+        at = np.repeat(w.start - self.start, size + 1) + np.arange(int(self.end[-1]) + 1 if len(size) else 0)
+        joined = w.data[np.minimum(at, max(len(w.data) - 1, 0))]
+        joined[self.end] = 0x20
+        self.joined = joined.tobytes()
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of BLAKE2b in 128 bits of each stretch of words start..end."""
+        digest, joined = blake2b, self.joined
+        spans = zip(self.start[start].tolist(), self.end[end - 1].tolist(), strict=True)
+        raw = b"".join([digest(joined[a:b], digest_size=16).digest() for a, b in spans])
+        halves = np.frombuffer(raw, _U).reshape(-1, 2)
+        return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def starts_of_windows(w: Words, width: int) -> np.ndarray:
     """First words of all windows that lie in one text."""
     n = np.diff(w.first)
@@ -162,11 +188,7 @@ def parse(w: Words, h: np.ndarray, width: int = WINDOW) -> Parse:
         p, left, right = p[~gone], index[left[~gone]], index[right[~gone]]
     anchor_name, at, anchor = _anchors(s.name, left, right)
     anchor_doc = s.doc[at]
-    sums = np.zeros(n + 1, _U)
-    odd = 0xA0761D6478BD642F
-    np.cumsum(mix(h, 29) * powers(odd, n), out=sums[1:])
-    back = powers(pow(odd, -1, 1 << 64), n)
-    names, checks, starts, ends = [], [], [], []
+    starts, ends = [], []
     for k in range(LONG_ROUNDS):
         before = len(s.name)
         s, _, _ = _pair_round(s, ANCHOR_ROUNDS + k, n, None)
@@ -174,15 +196,14 @@ def parse(w: Words, h: np.ndarray, width: int = WINDOW) -> Parse:
             size = _lengths(s, n)
             i = np.flatnonzero((size >= width) & ~s.seen)
             s.seen[i] = True
-            e = s.start[i] + size[i]
-            names.append(s.name[i])
-            checks.append(mix((sums[e] - sums[s.start[i]]) * back[s.start[i]], 31) | _U(1))
             starts.append(s.start[i])
-            ends.append(e)
+            ends.append(s.start[i] + size[i])
             if before == len(s.name) and (np.diff(s.doc) != 0).all():
                 break
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return Parse(anchor_name, anchor_doc, p, anchor, cat(bare, np.int64), cat(names, _U), cat(checks, _U), cat(starts, np.int64), cat(ends, np.int64))
+    cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    start, end = cat(starts), cat(ends)
+    name, check = Letters(w).digests(start, end)
+    return Parse(anchor_name, anchor_doc, p, anchor, cat(bare), name, check | _U(1), start, end)
 
 
 def _symbols_of(width: int):
@@ -254,7 +275,7 @@ def _candidates_of(width: int):
                 p = p[~_covered(n, x.long_start[lent], x.long_end[lent] - width + 1)[p]]
                 if len(p):
                     doc = w.doc[p]
-                    h1, h2 = (window_hashes(h, width, k)[p].view(np.int64) for k in (1, 2))
+                    h1, h2 = (x.view(np.int64) for x in Letters(w).digests(p, p + width))
                     at = (p - w.first[doc]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(rid[a:b][doc]), pa.array(rid2[a:b][doc]), pa.array(at), pa.array(at + np.int32(width)), pa.array(h1), pa.array(h2)], names=["rid", "rid2", "s", "e", "h1", "h2"])
 

@@ -92,6 +92,21 @@ def test_substrings_odd_rows(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_colliding_words_are_told_apart(spark):
+    """Two words of 1024 letters whose polynomial hashes agree in every base."""
+    flip = {"a": "b", "b": "a"}
+    one = "a"
+    for _ in range(10):
+        one += "".join(flip[c] for c in one)
+    two = "".join(flip[c] for c in one)
+    w = words.split(pa.array([f"{one} {two}"]))
+    assert len(set(words.hashes(w).tolist())) == 1
+    rest = [f"v{k}" for k in range(80)]
+    texts = [" ".join([*rest[:17], x, *rest[17:34]]) for x in (one, two)] + [" ".join([*rest[:60], x]) for x in (one, two)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(frame(spark, enumerate(texts))).collect()}
+    assert [got[i] for i in range(4)] == list(removed(texts)) and got[0][1] == got[1][1] == 0 and got[2][1] == 60
+
+
 # -- simhash ---------------------------------------------------------------------------
 
 
