@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -367,9 +368,73 @@ def test_random_tokens_without_long_words(spark):
     texts = [f"the key is {key} here", "no long words at all", "see some_identifier_of_the_configuration_file_that_was_written_there"]
     got = {r["doc_id"]: [(s["s"], s["e"]) for s in r["random"]] for r in secrets.scan(frame(spark, enumerate(texts))).collect()}
     assert got == {0: [(11, 75)], 1: [], 2: []}
-    words = [(n, w) for n, w in enumerate(["configurationofthesystem", "a" * 30 + "z", "internationalisationswithoutend"])]
-    scores = {r["doc_id"]: r["x"] for r in frame(spark, words).select("doc_id", secrets.randomness(F.col("text")).alias("x")).collect()}
-    assert all(abs(scores[n] - secrets.reference_score(w)) < 1e-9 for n, w in words)
+
+
+def plain_battery(token):
+    """The three tests, Fisher's combination and the ordinary p-value, by their textbook forms."""
+    letters = next(a for p, a in secrets.ALPHABETS + [("", secrets.ANY)] if re.search(p, token))
+    x, k, n = [letters.index(c) + 1 for c in token], len(letters), len(token)
+    over = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(1, k + 1))
+    uniform = over(((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / math.sqrt(2 / (9 * (k - 1))))
+    sides = [v > k / 2 for v in x]
+    a, b = sum(sides), n - sum(sides)
+    seen = 1 + sum(p != q for p, q in zip(sides, sides[1:], strict=False))
+    mean, variance = 2 * a * b / n + 1, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    runs = 2 * over(abs(seen - mean) / math.sqrt(variance)) if variance > 0 else 2.0 ** (1 - n)
+    middle = (k + 1) / 2
+    serial = 2 * over(abs(sum((p - middle) * (q - middle) for p, q in zip(x, x[1:], strict=False))) / ((k * k - 1) / 12 * math.sqrt(n - 1)))
+    half = -math.log(uniform * runs * serial)
+    scale = max(1, 26 / k)
+    two, three = secrets.AGREE_2 * scale, secrets.AGREE_3 * scale**2
+    agree, pairs = sum(x[i] == x[j] for i in range(n) for j in range(i)), n * (n - 1) / 2
+    ordinary = over((pairs * two - agree) / math.sqrt(pairs * (two - two**2) + 6 * math.comb(n, 3) * (three - two**2)))
+    return {"uniform": uniform, "runs": runs, "serial": serial, "random": math.exp(-half) * (1 + half + half**2 / 2), "ordinary": ordinary}
+
+
+def test_battery_against_plain_tests(spark):
+    rng = random.Random(13)
+    some = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    tokens = [some(a, rng.randint(20, 90)) for _, a in secrets.ALPHABETS for _ in range(6)] + [some(secrets.ANY, 64), "thequickbrownfoxjumpsoverthelazydog", "ab" * 15, "some_identifier_2019_of_something", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("b")).select("t", "b.*").collect()
+    for r in got:
+        for name, p in plain_battery(r["t"]).items():
+            assert math.isclose(r[name], p, rel_tol=1e-3, abs_tol=1e-6), (r["t"], name)
+
+
+def test_no_span_in_ordinary_texts(spark):
+    """10,000 texts of words, compounds, identifiers and paths, and one key among them."""
+    rng = random.Random(14)
+    syllables = ["tion", "ing", "the", "and", "re", "er", "on", "an", "ver", "keit", "schaft", "ment", "eau", "ción", "de", "con", "str", "al"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    shapes = [lambda: word(9), lambda: word(9).title(), lambda: "_".join(word(2) for _ in range(5)), lambda: "/" + "/".join(word(3) for _ in range(4)), lambda: "".join(word(2).title() for _ in range(5)), lambda: f"{word(7)}-{rng.randint(1900, 2030)}", lambda: word(8).upper()]
+    rows = [(n, " ".join(rng.choice(shapes)() for _ in range(3))) for n in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secrets.scan(docs).where("size(random) > 0").count() == 0
+    key = "".join(rng.choice(secrets.UPPER + secrets.LOWER + secrets.DIGITS) for _ in range(64))
+    more = docs.unionByName(spark.createDataFrame([(-1, f"use {key} now")], docs.schema))
+    assert [(r["doc_id"], r["random"][0]["s"], r["random"][0]["e"]) for r in secrets.scan(more).where("size(random) > 0").collect()] == [(-1, 4, 68)]
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of matches in a text: located and cut without a square of their number."""
+    rng = random.Random(15)
+    parts = [rng.choice([secrets_like(rng, 32), "é word", "AKIA" + "Q7" * 9, "token=abc", "token=abcdefg0123456789abcdef0123456789", "x" * 25]) for _ in range(20_000)]
+    text = " ".join(parts)
+    docs = frame(spark, [(1, text)])
+    spans = secrets.scan(docs).select(secrets.joined(secrets.KINDS[:3]).alias("s"), "random").first()
+    assert spans["s"] == ",".join(plain_spans(text))
+    cover = sorted([(int(a), int(e)) for _, a, e in (x.split(":") for x in spans["s"].split(","))] + [(r["s"], r["e"]) for r in spans["random"]])
+    out, at = [], 0
+    for a, e in cover:
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, e)
+    assert secrets.redact(docs).first()["text"] == "".join(out) + text[at:]
+
+
+def secrets_like(rng, n):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
 
 
 def test_redact(spark):
@@ -382,6 +447,8 @@ def test_redact(spark):
         else:
             assert not plain_spans(got[i]) or "[secret]" in got[i]
     assert got[None] == "[secret] x" and secrets.redact(docs).columns == docs.columns
+    clash = docs.select("doc_id", "text", *(F.lit("mine").alias(c) for c in ("_spans", "spans", "row", "tokens", "assign", "hex", "a.b")))
+    assert {tuple(r[2:]) for r in secrets.redact(clash).collect()} == {("mine",) * 7}
     assert secrets.redact(frame(spark, [])).count() == 0 and secrets.scan(frame(spark, [])).count() == 0
 
 
