@@ -232,17 +232,90 @@ def test_host_of_two_templates(spark):
     assert got[50]["n_chars"] == 5 * 50_000 - 1 and got[70]["text"] == "only\nlinks"
 
 
+def one(page, *others):
+    """The main text of a page on a host that has the others too."""
+    w = html.Wrapper()
+    for p in (page, *others):
+        w.add(html.read(p)[0])
+    return html.extract(*html.read(page), w)
+
+
+def test_marks_are_hints():
+    """Marks on what holds the main text are void; marked elements inside it go."""
+    wrapped = [
+        '<div class="layout has-sidebar"><article><h1>T</h1><p>words here</p></article><div class="sidebar">side</div></div>',
+        '<div id="no-comments"><article><h1>T</h1><p>words here</p></article></div><footer>end</footer>',
+        '<body><form id="aspnetForm"><div><nav>menu</nav><article><h1>T</h1><p>words here</p></article><label>Mail</label></div></form></body>',
+        '<article><h1>T</h1><p>words here</p><p class="advert">buy <b>this</b></p><ul><li class="comment">I disagree<li class="comment">me too</ul></article>',
+        '<article><h1>T</h1><p>words <span class="ad">buy</span>here</p><section class="comments"><article><p>' + "nonsense " * 90 + "</p></article></section></article>",
+        '<main><h1>T</h1><div class="with-sidebar"><p>words here</p></div></main>',
+    ]
+    for page in wrapped:
+        assert one(page) == "T\nwords here", page
+    assert one("<nav><ul><li>only<li>menu</ul></nav><footer>f</footer>") == "" == one("")
+    assert one("<div>" * 5000 + "deep" + "<p>x</div>" * 5000).startswith("deep")
+
+
+def test_wrapper_decides():
+    """No marks, no article: positions tell a long constant notice from the pages' own words."""
+    page = "<body><div><p>{n} Home</p></div><div><p>" + "Terms and conditions of this long notice. " * 9 + "</p></div><div><h2>Story {n}</h2><p>own words {t}</p></div><div><a href=x>more {n}</a></div></body>"
+    pages = [page.format(n=n, t="abc"[n % 3] * 80) for n in range(6)]
+    lacking = [p.replace("<div><p>" + str(n) + " Home</p></div>", "") for n, p in enumerate(pages[:2])]
+    for n, p in enumerate(lacking + pages[2:]):
+        assert one(p, *pages) == f"Story {n}\nown words " + "abc"[n % 3] * 80
+        assert html.extract(*html.read(p), html.Wrapper()).startswith("Terms")  # what the page alone would give
+    copies = one(pages[0], *[pages[0]] * 5)
+    assert copies and copies == html.extract(*html.read(pages[0]), html.Wrapper())
+
+
+def test_long_pages_do_not_outvote():
+    """A comment thread without marks that is long on one page weighs as it does on the host."""
+    page = "<div><div><h1>t{n}</h1><p>story {n} " + "words " * 60 + "</p></div><ul><li>reply {r}</li></ul></div>"
+    pages = [page.format(n=n, r=n) for n in range(8)]
+    long = page.format(n=9, r="</li><li>".join(f"reply {k} of many readers" for k in range(200)))
+    assert one(long, *pages).startswith("t9\nstory 9 words") and "many readers" not in one(long, *pages)
+    assert "many readers" in html.extract(*html.read(long), html.Wrapper())
+
+
 def test_wrapper_alignment():
-    a = html.collapse(("h1", "#", "p", "#", "/p", "p", "#", "/p", "p", "#", "/p"))
-    assert a == ("h1", "#", ("+", ("p", "#", "/p")))
-    b = html.collapse(("h1", "#", "img", "p", "#", "/p"))
-    assert html.merge(a, b)[:3] == ("h1", "#", ("?", ("img",)))
-    assert html.merge(a, a) == a
+    tree = lambda page: html.read(page)[0]
     w = html.Wrapper()
-    for n in range(4):
-        w.add(PAGE.format(n=n, body="<p>x</p>" * (n + 1)))
+    w.add(tree("<div><h1>a</h1><p>b</p><p>c</p></div>"))
+    assert w.root.expression() == "(div(h1(#) p(#)+))"
+    w.add(tree("<div><h1>a</h1><img><h3>new</h3><p>b</p></div>"))
+    assert w.root.expression() == "(div(h1(#) h3(#)? p(#)+))"
+    w.add(tree("<div><p>b</p></div><div class='c 12'>x</div>"))
+    assert w.root.expression() == "(div(h1(#)? h3(#)? p(#)+) div|class=c 0(#)?)"
+    assert tree("<dl><dt>a<dd>b<dt>c<dd>d</dl>").kids[0].kids[0].key == "(dt dd)" and html.Wrapper(tree("<dl><dt>a<dd>b<dt>c<dd>d</dl>")).root.expression() == "(dl((dt(#) dd(#))+))"
     again = html.Wrapper.load(w.dump())
-    assert again.items == w.items and again.main() == w.main() and len(w.items) < html.WRAPPER_TOKENS
+    assert again.dump() == w.dump() and again.root.expression() == w.root.expression()
+    other = html.Wrapper()
+    other.add(tree("<div><p>z</p></div>"))
+    again.join(other)
+    assert again.root.pages == 4 and again.root.expression() == w.root.expression()
+
+
+def test_alignment_against_plain_one():
+    """Both alignments hold as many pairs as a longest common subsequence, in order and of equal keys."""
+    rng = random.Random(5)
+    for n in range(200):
+        a, b = ([rng.choice("pqr"[: 1 + n % 3] + "xyz") for _ in range(rng.randint(0, 14))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        pairs = html.align([html.Node(k) for k in a], [html.Node(k) for k in b])
+        long = html._common(np.array([ord(k) for k in a]), np.array([ord(k) for k in b]))
+        for found in (pairs, long):
+            assert len(found) == best[-1][-1] and all(a[i] == b[j] for i, j in found)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
+
+
+def test_many_siblings():
+    rng = random.Random(6)
+    body = lambda: "".join(f"<{t}>{t} {k}</{t}>" for k, t in enumerate(rng.choices(["p", "h2", "pre", "blockquote"], k=3000)))
+    pages = [f"<article>{body()}</article><div>tail</div>" for _ in range(3)]
+    assert all(one(p, *pages).count("\n") == 2999 for p in pages)
 
 
 @tables
