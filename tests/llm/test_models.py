@@ -90,32 +90,47 @@ def vectors(spark, rows):
 
 
 def exact(rows, k=5):
-    fine = {i: np.array(v, float) for i, v, *_ in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)}
-    out = {}
-    for i, v in fine.items():
+    fine = [(i, np.array(v, float)) for i, v, *_ in rows if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    out = []
+    for n, (i, v) in enumerate(fine):
         if i % 50 == 0:
-            others = sorted((-float(neighbours.cosine(v, x[None])[0]), j) for j, x in fine.items() if j != i)
-            out[i] = [(j, -s) for s, j in others[:k]]
+            others = sorted((-float(neighbours.cosine(v, x[None])[0]), j) for m, (j, x) in enumerate(fine) if m != n)
+            out.append((i, [(j, -s) for s, j in others[:k]]))
     return out
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours(spark, kind):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 8))
     base = [np.float32(centres[k % 12] + 0.3 * rng.normal(size=8)).tolist() for k in range(1500)]
     rows = [(k, v, 0, 0) for k, v in enumerate(base)]
     rows += [(2000 + k, base[50], 0, 0) for k in range(40)]
-    rows += [(3000, None, 0, 0), (3050, [0.0] * 8, 0, 0), (3100, [float("nan")] * 8, 0, 0), (3150, [float("inf"), *[1.0] * 7], 0, 0), (3200, [None, *[1.0] * 7], 0, 0), (3250, [1.0] * 3, 0, 0), (None, base[0], 0, 0), (100, base[100], 0, 0)]
+    rows += [(3000, None, 0, 0), (3050, [0.0] * 8, 0, 0), (3100, [float("nan")] * 8, 0, 0), (3150, [float("inf"), *[1.0] * 7], 0, 0), (3200, [None, *[1.0] * 7], 0, 0), (3250, [1.0] * 3, 0, 0), (None, base[0], 0, 0), (100, base[101], 0, 0)]
     got = {}
-    result = neighbours.search(vectors(spark, rows), F.col("vec_id") % 50 == 0)
-    for r in result.orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    result = neighbours.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, rid int, list int"), F.col("vec_id") % 50 == 0)
+    for r in result.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = exact(rows)
-    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
-    assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 5 for i in want]) >= 0.9
-    assert [j for j, _ in got[50]] == [2000, 2001, 2002, 2003, 2004]
-    by_id = {i: np.array(v, float) for i, v, *_ in rows if v is not None and i is not None}
-    assert all(math.isclose(s, neighbours.cosine(by_id[i], by_id[j][None])[0], rel_tol=1e-12) for i, v in got.items() for j, s in v)
+    # both rows of id 100 are queries of their own, and candidates for each other
+    assert set(got) == {i for i, _ in want} and all(len(v) == (10 if i == 100 else 5) for i, v in got.items())
+    once = [(i, v) for i, v in want if i != 100]
+    assert np.mean([len({j for _, j, _ in got[i]} & {j for j, _ in v}) / 5 for i, v in once]) >= 0.9
+    assert [j for _, j, _ in sorted(got[50])] == [2000, 2001, 2002, 2003, 2004]
+    by_id = {i: np.array(v, float) for i, v, *_ in rows[:-1] if v is not None and i is not None}
+    assert all(math.isclose(s, neighbours.cosine(by_id[i], by_id[j][None])[0], rel_tol=1e-12) for i, v in got.items() if i != 100 for _, j, s in v if j != 100)
+
+
+def test_lists_and_codes_select(spark):
+    """On clusters few lists are looked into, and few of their members reranked; lists are fuller than any rerank."""
+    rng = np.random.default_rng(7)
+    x = np.float32(rng.normal(size=(40, 32))[rng.integers(0, 40, 24_000)] + 0.8 * rng.normal(size=(24_000, 32)))
+    counts = {}
+    got = neighbours.search(vectors(spark, [(k, v, 0, 0) for k, v in enumerate(x.tolist())]), F.col("vec_id") % 200 == 0, counts=counts).collect()
+    wide = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(i, int(j)) for i in range(0, len(x), 200) for j in np.argsort(-np.where(np.arange(len(x)) == i, -2, wide @ wide[i]), kind="stable")[:5]}
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
+    assert counts["probes"] < 0.3 * counts["lists"] and counts["reranked"] < 0.15 * counts["scored"]
 
 
 def test_few_vectors(spark):
@@ -128,13 +143,13 @@ def test_few_vectors(spark):
 
 
 def test_crowded_lists(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 50)
-    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(neighbours, "TOGETHER", 3)
     rng = np.random.default_rng(3)
     rows = [(k, np.float32(np.ones(8) + 0.01 * rng.normal(size=8)).tolist(), 0, 0) for k in range(900)]
-    got = neighbours.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, probe_share=1.0)
+    got = neighbours.search(vectors(spark, rows), F.col("vec_id") % 50 == 0)
     pairs = {(r["query_id"], r["vec_id"]) for r in got.collect()}
-    want = {(i, j) for i, v in exact(rows).items() for j, _ in v}
+    want = {(i, j) for i, v in exact(rows) for j, _ in v}
     assert len(pairs & want) >= 0.9 * len(want)
 
 
