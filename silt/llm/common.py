@@ -22,12 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where set.
 
-    Only an unset one is replaced, by a folder in the warehouse (tests, one machine).
+    Where it is not, one machine alone (tests) gets a folder in the warehouse; on a cluster
+    executors could not see what others wrote there, so that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/silt-shared"
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/silt-shared"
     return found.rstrip("/")
 
 
+#: Paths of all steps written by this process, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -45,14 +54,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._silt_path = path
+    _written.append(path)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing will read again."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._silt_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _remove(df.sparkSession, df._silt_path)
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if name in _written:
+        _written.remove(name)
+
+
+def materialize_only(stage, label: str, spark: SparkSession) -> DataFrame:
+    """Write what ``stage()`` returns, and remove all steps that it wrote on the way."""
+    before = set(_written)
+    out = materialize(stage(), label)
+    for path in [p for p in _written if p not in before and p != out._silt_path]:
+        _remove(spark, path)
+    return out
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, fresh, materialize
 from .components import components
-from .words import as_utf8
+from .words import as_utf8, hashes, mix, slices, split, window_hashes
 
 SHINGLE = 4
 SEED = 42
@@ -247,26 +247,222 @@ def near_duplicates(
     return own.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = SHINGLE,
-    distance: int = DISTANCE,
-    blocks: int = BLOCKS,
-    max_bucket: int = MAX_BUCKET,
-) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of least id, null ids last.
+#: Of the wide fingerprints, for a similarity of 0.8 of five-word shingles: lanes of 64
+#: bits, blocks of a lane, blocks that make a key, and bits of all lanes in which two may differ.
+WIDE_SHINGLE = 5
+LANES = 2
+WIDE_BLOCKS, WIDE_AGREE = 10, 3
+WIDE_DISTANCE = 26
+#: The share of all their shingles that linked texts have in common, at least.
+SIMILARITY = 0.8
+#: Fingerprints of one key of which every close pair is verified, or the closest ones.
+FEW, MANY = 16, 256
+
+
+def wide_fingerprints(texts: pa.Array, a: int, b: int, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """LANES x 64 bits of each of texts a..b, rows x LANES; a bit is set if over half of the
+    shingles' hashes have it. Texts of fewer words are one shingle; without words, zero."""
+    w = split(texts, a, b, lower=True)
+    h, n = hashes(w), np.diff(w.first)
+    counts, out = np.zeros((b - a, 64 * LANES), np.int64), np.zeros((b - a, LANES), np.uint64)
+    starts = np.flatnonzero(np.repeat(w.first[1:] - shingle, n) >= np.arange(len(h)))
+    windows = [window_hashes(h, shingle, lane + 1) for lane in range(LANES)]
+    for k in range(0, len(starts), 1 << 15):
+        at = starts[k : k + (1 << 15)]
+        bits = np.unpackbits(np.stack([x[at] for x in windows], axis=1).view(np.uint8).reshape(len(at), -1), axis=1)
+        doc = w.doc[at]
+        new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        counts[doc[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int64)
+    out[:] = np.packbits(counts * 2 > np.maximum(n - shingle + 1, 1)[:, None], axis=1).view(np.uint64)
+    for size in range(1, shingle):
+        few = np.flatnonzero(n == size)
+        if len(few):
+            out[few] = np.stack([window_hashes(h, size, lane + 1)[w.first[few]] for lane in range(LANES)], axis=1)
+    return out
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (key, lanes) for every choice of blocks of every lane."""
+    cuts = [64 * i // WIDE_BLOCKS for i in range(WIDE_BLOCKS + 1)]
+    masks = np.array([sum(((1 << (y - x)) - 1) << x for x, y in chosen) for chosen in combinations(list(zip(cuts, cuts[1:], strict=False)), WIDE_AGREE)], np.uint64)
+    for batch in batches:
+        fps = np.stack([c.to_numpy() for c in batch.columns], axis=1).view(np.uint64)
+        for k in range(0, len(fps), 64):
+            some = fps[k : k + 64]
+            keys = [mix((some[:, lane, None] & masks) + np.arange(len(masks), dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15), 67 + lane) for lane in range(LANES)]
+            row = np.tile(np.repeat(np.arange(len(some)), len(masks)), LANES)
+            flat = np.concatenate([x.ravel() for x in keys]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *(pa.array(some[row, lane].view(np.int64)) for lane in range(LANES))], names=["key", *_LANES])
+
+
+_LANES = [f"f{n}" for n in range(LANES)]
+
+
+def _wide_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1)
+
+
+def _wide_forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Links among distinct fingerprints, and one of each connected group.
+
+    Of FEW every pair within the distance; of MANY a least spanning forest, which
+    links each to what it is closest to; of more a forest of any such links.
+    """
+    n = len(fps)
+    if n <= MANY:
+        apart = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2).astype(np.int64)
+        if n <= FEW:
+            i, j = np.nonzero(np.triu(apart <= WIDE_DISTANCE, 1))
+            return [fps[i]], [fps[j]], fps[~np.isin(np.arange(n), j)]
+        ones, others, first = [], [], []
+        near, by, out = np.full(n, 1 << 20), np.zeros(n, np.int64), np.zeros(n, bool)
+        for _ in range(n):
+            x = int(np.where(out, 1 << 21, near).argmin())
+            if near[x] <= WIDE_DISTANCE:
+                ones.append(fps[by[x]][None])
+                others.append(fps[x][None])
+            else:
+                first.append(fps[x])
+            out[x] = True
+            closer = apart[x] < near
+            near[closer], by[closer] = apart[x][closer], x
+        return ones, others, np.array(first, np.uint64).reshape(-1, LANES)
+    left, ones, others, first = fps, [], [], []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        first.append(todo[0])
+        while todo and len(left):
+            x = todo.pop()
+            near = _wide_differ(left, x[None, :]) <= WIDE_DISTANCE
+            if near.any():
+                found = left[near]
+                todo.extend(found)
+                ones.append(np.broadcast_to(x, found.shape))
+                others.append(found)
+                left = left[~near]
+    return ones, others, np.array(first, np.uint64).reshape(-1, LANES)
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among fingerprints of one key, from a sorted stream.
 
-    Only keys and fingerprints are grouped; texts are moved once, to be kept or not.
+    A key's rows are handled in parts of at most MAX_BUCKET; from part to part one of each
+    group found is carried, so a group of copies of any size leaves one row.
+    """
+    now, held = None, np.zeros((0, LANES), np.uint64)
+
+    def linked(fps: np.ndarray) -> tuple[list, list, np.ndarray]:
+        return _wide_forest(fps) if len(fps) > 1 else ([], [], fps)
+
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        fps = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else []
+        ones, others = [], []
+        single = np.diff(edge) == 1 if len(keys) else []
+        for a, b, alone in zip(edge, edge[1:], single, strict=False):
+            if keys[a] != now:
+                if len(held) > 1:
+                    x, y, _ = linked(held)
+                    ones += x
+                    others += y
+                now, held = keys[a], fps[a:b]
+                if alone or b - a <= MAX_BUCKET:
+                    continue
+                held = held[:0]
+            for k in range(a, b, MAX_BUCKET):
+                x, y, held = linked(np.concatenate((held, fps[k : min(b, k + MAX_BUCKET)])))
+                ones += x
+                others += y
+        if sum(map(len, ones)):
+            yield _link_rows(ones, others)
+    x, y, _ = linked(held)
+    if sum(map(len, x)):
+        yield _link_rows(x, y)
+
+
+def _link_rows(ones: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(ones).view(np.int64), np.concatenate(others).view(np.int64)
+    columns = [pa.array(np.ascontiguousarray(x[:, lane])) for x in (a, b) for lane in range(LANES)]
+    return pa.RecordBatch.from_arrays(columns, names=[f"{x}{lane}" for x in "ab" for lane in range(LANES)])
+
+
+def shingle_sets(texts: pa.Array, a: int, b: int, shingle: int = WIDE_SHINGLE) -> list[bytes]:
+    """The sorted distinct 64-bit shingle hashes of each of texts a..b."""
+    w = split(texts, a, b, lower=True)
+    h, n = hashes(w), np.diff(w.first)
+    whole = window_hashes(h, shingle, 1)
+    out = []
+    for at, size in zip(w.first.tolist(), n.tolist(), strict=False):
+        own = whole[at : at + size - shingle + 1] if size >= shingle else window_hashes(h[at : at + size], size, 1) if size else h[:0]
+        out.append(np.unique(own).tobytes())
+    return out
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of sets that share SIMILARITY of their members."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(p) + len(q) - both))
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of least id, null ids last.
+
+    Near duplicates share SIMILARITY or more of their five-word shingles. Candidates are
+    fingerprints of 128 bits that differ in at most WIDE_DISTANCE, met under any three of ten equal blocks
+    of either half; each is verified by the two texts' shingles. Texts without words are copies of each other. Of rows with equal id
+    and text one stays; an empty table gives no rows; other columns may have any names.
+    Only keys and fingerprints are shuffled; texts are not, but those of repeated ids.
     """
     fresh(docs, id_col, text_col)
-    keyed = docs.withColumn("_row", F.xxhash64(id_col, text_col))
-    written = materialize(fingerprints(keyed.select(F.struct(F.col(id_col).alias("id"), "_row").alias("_key"), text_col), "_key", text_col, shingle), "simhash-docs")
-    own = written.select(F.col("id.id").alias("id"), F.col("id._row").alias("row"), "fp")
-    rooted = _rooted(own, distance, blocks, max_bucket)
-    least = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("least")
-    per_fp = materialize(own.groupBy("fp").agg(least), "simhash-per-fp")
-    kept = materialize(per_fp.join(rooted.drop("least"), "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row")), "simhash-kept")
-    discard(written, rooted, per_fp)
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    bounded_batches(docs.sparkSession)
+    name = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    tags = [F.xxhash64(name(id_col), name(text_col)), F.xxhash64(F.lit(9), name(text_col), name(id_col))]
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_utf8(batch.column(3))
+            found = [wide_fingerprints(texts, a, b) for a, b in slices(texts)]
+            fps = np.concatenate(found).view(np.int64) if found else np.zeros((0, LANES), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(fps[:, lane])) for lane in range(LANES))], names=["id", "t1", "t2", *_LANES])
+
+    lanes = ", ".join(f"{x} long" for x in _LANES)
+    own = docs.select(name(id_col).alias("id"), tags[0].alias("t1"), tags[1].alias("t2"), name(text_col).alias("text"))
+    own = materialize(own.mapInArrow(run, f"id {kind}, t1 long, t2 long, {lanes}"), "simhash-docs")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "t1", "t2")).alias("least")
+    fps = own.groupBy(*_LANES).agg(least)
+    fps = materialize(fps.withColumn("node", F.monotonically_increasing_id()), "simhash-fps")
+    keyed = fps.select(*_LANES).mapInArrow(_wide_keys, f"key long, {lanes}").repartition("key").sortWithinPartitions("key", *_LANES)
+    met = materialize(keyed.mapInArrow(_wide_links, ", ".join(f"{x}{lane} long" for x in "ab" for lane in range(LANES))).distinct(), "simhash-links")
+    ends = lambda x: fps.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{lane}") for lane, c in enumerate(_LANES)))
+    paired = met.join(ends("a"), [f"a{n}" for n in range(LANES)]).join(ends("b"), [f"b{n}" for n in range(LANES)]).select("a", "b")
+    paired = materialize(paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    needed = paired.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(fps, "node").select("node", "least.t1", "least.t2")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_utf8(batch.column(1))
+            found = [x for a, b in slices(texts) for x in shingle_sets(texts, a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+
+    texts = docs.select(*(t.alias(f"t{n}") for n, t in enumerate(tags, 1)), name(text_col).alias("text")).join(needed, ["t1", "t2"]).select("node", "text")
+    known = materialize(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "simhash-sets")
+    alike = paired.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    roots = components(alike.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+    discard(paired, known)
+    rooted = fps.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    chosen = rooted.select("least.id", "least.t1", "least.t2")
+    times = own.groupBy("id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = chosen.join(times, (chosen["id"].eqNullSafe(times["id"])) & (chosen["t1"] == times["t1"]) & (chosen["t2"] == times["t2"]), "left").select(chosen["t1"], chosen["t2"], F.coalesce("n", F.lit(1)).alias("n"))
+    kept = materialize(chosen, "simhash-kept")
+    discard(own, fps, met, roots)
+    rows = docs.select(F.struct(*(name(c).alias(c) for c in docs.columns)).alias("row"), tags[0].alias("t1"), tags[1].alias("t2"))
+    single = rows.join(kept.where("n = 1"), ["t1", "t2"], "left_semi")
+    repeated = rows.join(kept.where("n > 1"), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    return single.unionByName(repeated).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

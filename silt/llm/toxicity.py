@@ -6,8 +6,9 @@ bytes, so that unseen forms of a known stem are told too. Filters of several wid
 slide over a text's embeddings; the ``TOP`` largest responses of each filter anywhere
 in the whole text go to a logistic layer. The first embedding component
 starts as each bucket's log-odds in the training texts over its standard error; all
-weights are then trained by Adam. A language is inferred from a text's function words,
-and the threshold that separates the training rows best is found for each language;
+weights are then trained by Adam, until labelled rows that take no part in the training
+fit no better. A language is inferred from a text's function words,
+and the threshold that separates those rows best is found for each language;
 scores are shifted so that every language's threshold is ``CUT``.
 """
 
@@ -39,6 +40,10 @@ WIDTHS = {1: 4, 2: 4, 3: 4}
 #: Largest responses kept of each filter.
 TOP = 3
 EPOCHS = 12
+#: One in so many labelled rows calibrates: it ends the training, which goes on for PATIENCE
+#: epochs without gain, and sets the thresholds.
+CALIBRATION = 4
+PATIENCE = 2
 RATE = 0.02
 #: Texts of each class that a language needs for a threshold of its own.
 LANGUAGE_ROWS = 20
@@ -126,12 +131,14 @@ def _pool(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, net: Net, where:
     return pooled, x, places
 
 
-def _start(ids: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Tables whose first component is a share of each bucket's standardised log-odds."""
+def _start(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Tables whose first component is a share of each bucket's standardised log-odds in the
+    words that ``mine`` marks."""
+    doc = doc[mine]
     tables = np.random.default_rng(11).normal(0, 0.01, (len(TABLES), BUCKETS, DIMENSIONS)).astype(np.float32)
     clean, bad = (y == 0).sum(), (y == 1).sum()
     for table, bucket in zip(tables, ids, strict=True):
-        d, b = np.divmod(np.unique(doc * BUCKETS + bucket.astype(np.int64)), BUCKETS)
+        d, b = np.divmod(np.unique(doc * BUCKETS + bucket[mine].astype(np.int64)), BUCKETS)
         a, c = np.bincount(b, y[d] == 1, BUCKETS), np.bincount(b, y[d] == 0, BUCKETS)
         odds = np.log((a + 0.5) / (bad - a + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
         table[:, 0] = np.where(a + c > 0, odds / np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)) / (2 * len(TABLES)), 0)
@@ -151,7 +158,11 @@ def fit(parts: list[Tokens], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     parts.clear()  # their arrays are in ids now; the fit's memory is bounded by the sample
     rng = np.random.default_rng(seed)
-    tables = _start(ids, doc, y)
+    held = _calibration(y)
+    learn = np.flatnonzero(~held) if not held.all() else np.arange(len(y))
+    learned = np.isin(np.arange(len(y)), learn)
+    mine = np.repeat(learned, np.diff(first))
+    tables = _start(ids, doc, np.where(learned, y, -1), mine)
     filters = {}
     for width, count in WIDTHS.items():
         f = rng.normal(0, 0.1, (width, DIMENSIONS, count)).astype(np.float32)
@@ -164,10 +175,10 @@ def fit(parts: list[Tokens], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5)
     params = {"bias": bias, "out": out, "out_bias": out_bias, **{f"f{w}": f for w, f in filters.items()}}
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     squares = np.zeros((len(TABLES), BUCKETS), np.float32)
-    step = 0
+    step, best, worse = 0, (np.inf, None), 0
     for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for batch in np.array_split(order, max(1, len(y) // 128)):
+        order = learn[rng.permutation(len(learn))]
+        for batch in np.array_split(order, max(1, len(order) // 128)):
             step += 1
             sizes = first[batch + 1] - first[batch]
             at = np.repeat(first[batch] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -205,9 +216,33 @@ def fit(parts: list[Tokens], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5)
                 for table, bucket, sq in zip(tables, some, squares, strict=True):
                     np.add.at(sq, bucket[w], (dv**2).mean(axis=1))
                     np.add.at(table, bucket[w], -RATE * dv / (np.sqrt(sq[bucket[w]])[:, None] + 1e-6) * 0.2)
-    net = net._replace(out_bias=float(out_bias[0]))
-    raw = np.concatenate([net.raw(Tokens(ids[:, a:b], np.array([0, b - a]), doc[a:b] * 0, language[:1])) for a, b in zip(first[:-1], first[1:], strict=True)])
-    return net._replace(cuts=_cuts(raw, y, language), slope=_slope(raw, y))
+        # the weights that the calibration rows fit best are kept
+        now = net._replace(out_bias=float(out_bias[0]))
+        raw = _raw(now, ids, first, np.flatnonzero(held))
+        loss = float((weight[held] * np.logaddexp(0, np.where(y[held] == 1, -raw, raw))).mean())
+        if loss < best[0]:
+            best, worse = (loss, (now._replace(tables=tables.copy(), filters={w: f.copy() for w, f in filters.items()}, bias=bias.copy(), out=out.copy()), raw)), 0
+        else:
+            worse += 1
+        if worse == PATIENCE:
+            break
+    net, raw = best[1]
+    return net._replace(cuts=_cuts(raw, y[held], language[held]), slope=_slope(raw, y[held]))
+
+
+def _calibration(y: np.ndarray) -> np.ndarray:
+    """One in CALIBRATION rows of each class, the least at once: no weight is fitted on them."""
+    held = np.zeros(len(y), bool)
+    for c in (0, 1):
+        held[np.flatnonzero(y == c)[::CALIBRATION]] = True
+        if held[y == c].all():  # a lone row of a class is learned from too
+            return np.ones(len(y), bool)
+    return held
+
+
+def _raw(net: Net, ids: np.ndarray, first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    one = lambda a, b: net.raw(Tokens(ids[:, a:b], np.array([0, b - a]), np.zeros(b - a, np.int64), np.zeros(1, np.int64)))
+    return np.concatenate([one(first[r], first[r + 1]) for r in rows])
 
 
 def _cut(raw: np.ndarray, y: np.ndarray) -> float:

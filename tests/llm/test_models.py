@@ -345,6 +345,15 @@ def test_pages_keep_every_paragraph(spark):
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
+def shingled(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
 # -- pipeline --------------------------------------------------------------------------
 
 
@@ -360,19 +369,19 @@ def test_pipeline(spark):
     assert np.mean([(i in ids) == bool(y) for i, y in labels.items()]) > 0.98
     single = stages["near_duplicates"](spark, good, SF).cache()
     rows = {r["doc_id"]: r["text"] for r in good.collect()}
-    fps = {i: simhash.fingerprint(t) for i, t in rows.items()}
     kept = {r["doc_id"] for r in single.collect()}
-    root = {i: i for i in fps}
+    root = {i: i for i in rows}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    order = sorted(fps)
+    order = sorted(rows)
+    sets = {i: shingled(t) for i, t in rows.items()}
     for n, i in enumerate(order):
         for j in order[n + 1 :]:
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if similar(sets[i], sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert kept == {i for i in order if find(i) == i}

@@ -166,13 +166,50 @@ def components(nodes, links):
     return sets.values()
 
 
-def test_keep_one(spark):
-    texts = near(4)
-    docs = frame(spark, [*enumerate(texts), (None, "a lonely text of its own kind"), (5, "another text under the id of five")])
+def similar_groups(texts):
+    """The components of 0.8 of five-word shingles, by comparing all; each as its least place."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+    for _ in sets:
+        before = list(root)
+        for i, a in enumerate(sets):
+            root[i] = min(root[j] for j, b in enumerate(sets) if a == b or len(a & b) >= 0.8 * len(a | b))
+        if root == before:
+            return root
+    return root
+
+
+def near_and_far(seed):
+    """Copies with a share of their words changed that puts them on either side of 0.8."""
+    rng = random.Random(seed)
+    out = [*ODD, "one two", "one two", "One Two", "one two three four five"]
+    for _ in range(14):
+        base = [f"q{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))]
+        for _ in range(rng.randint(1, 12)):
+            w = list(base)
+            for k in rng.sample(range(len(w)), int(len(w) * rng.choice([0, 0.005, 0.01, 0.015, 0.06, 0.1]))):
+                w[k] = f"z{rng.randint(0, 5000)}"
+            out.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("many", [None, 4])
+def test_keep_one(spark, monkeypatch, many):
+    if many:  # keys in parts, and forests in place of all pairs
+        monkeypatch.setattr(simhash, "MAX_BUCKET", 8)
+    texts = near_and_far(4)
+    roots = similar_groups(texts)
+    docs = frame(spark, [*enumerate(texts), (None, "a lonely text of its own kind"), (5, "another text under the id of five"), (5, "another text under the id of five")])
     kept = simhash.keep_one(docs).collect()
-    groups = {r["component_id"] for r in simhash.near_duplicates(frame(spark, enumerate(texts))).collect()}
-    assert len(kept) == len(groups) + 2 and {r["doc_id"] for r in kept} == groups | {None, 5}
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted([*set(roots), 5])
+    assert sum(r["doc_id"] is None for r in kept) == 1
     assert simhash.keep_one(frame(spark, [])).count() == 0 and simhash.near_duplicates(frame(spark, [])).count() == 0
+    clash = docs.select("doc_id", "text", *(F.lit("mine").alias(c) for c in ("_row", "_key", "row", "t1", "node", "f0", "id", "a.b")))
+    assert {tuple(r[2:]) for r in simhash.keep_one(clash).collect()} == {("mine",) * 8}
 
 
 # -- packing ---------------------------------------------------------------------------
