@@ -1,7 +1,10 @@
 """The corpus pipeline: documents judged, deduplicated, decontaminated, redacted and packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
-All but the last return the columns of documents; the last returns packed pieces.
+All but the last return the columns of documents; the last returns packed pieces. Null and
+empty texts are texts without words: they are judged, are copies of each other, hold no
+benchmark item or secret, and pack to their end id. Rows with a null or repeated id are rows
+like any other, an empty table gives an empty one, other columns are carried along.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silt.llm import decontaminate, packing, quality, secrets, simhash
-from silt.llm.common import materialize, table
+from silt.llm.common import discard, materialize_only, table
 from silt.llm.queries import tokenizer
 
 
@@ -20,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group that shares 0.8 or more of its five-word shingles."""
     return simhash.keep_one(docs)
 
 
@@ -54,8 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each one's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents; each one's rows are written and read again.
+
+    A stage's own steps and the rows of the one before go as soon as its rows are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize_only(lambda now=docs, stage=stage: stage(spark, now, sf_dir), f"pipeline-{name}", spark)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
