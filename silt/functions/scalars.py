@@ -26,12 +26,20 @@ def fnv_low(data: Column) -> Column:
     return F.aggregate(_bytes(data), F.lit(HASH_SEED).cast("long"), lambda h, b: (h.bitwiseXOR(b) * HASH_FACTOR).bitwiseAND(F.lit(MASK)))
 
 
-def handle(argv: Column, cwd: Column, stdout: Column, stderr: Column) -> Column:
-    """A run's content address: 8 hex digits over argv, cwd and both streams."""
+def _address(argv: Column, cwd: Column, stdout: Column, stderr: Column) -> Column:
     nul = F.lit(b"\x00")
     words = F.aggregate(argv, F.lit(b""), lambda done, a: F.concat(done, a.cast("binary"), nul))
-    data = F.concat(words, cwd.cast("binary"), nul, stdout.cast("binary"), nul, stderr.cast("binary"))
-    return F.lpad(F.lower(F.hex(fnv_low(data))), 8, "0")
+    return F.concat(words, cwd.cast("binary"), nul, stdout.cast("binary"), nul, stderr.cast("binary"))
+
+
+def handle(argv: Column, cwd: Column, stdout: Column, stderr: Column) -> Column:
+    """A run's short address for display: 8 hex digits over argv, cwd and both streams."""
+    return F.lpad(F.lower(F.hex(fnv_low(_address(argv, cwd, stdout, stderr)))), 8, "0")
+
+
+def run_key(argv: Column, cwd: Column, stdout: Column, stderr: Column) -> Column:
+    """A run's key: SHA-256 of the same bytes, so that no two runs share one."""
+    return F.sha2(_address(argv, cwd, stdout, stderr), 256)
 
 
 def is_handle(text: Column) -> Column:

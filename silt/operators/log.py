@@ -11,6 +11,8 @@ from silt.schemas import RUN_RECORD
 
 TAIL = 20
 GENERATIONS = 5
+#: More lines than any section of the printed report can have.
+SECTION = 1 << 40
 OWN_FIELDS = ["t", "lvl", "type", "msg"]
 
 
@@ -97,12 +99,13 @@ def printed(run_records: DataFrame) -> DataFrame:
         F.concat(F.rpad(F.lit("reduction"), 18, " "), F.lpad(F.format_number("reduction_pct", 1), 9, " "), F.lit("%  (output tokens only)")),
     )
     head = F.when(F.col("runs") == 0, F.array(F.lit("no runs recorded"))).when(F.col("in_tok") > 0, F.concat(some, tokens)).otherwise(some)
-    lines = r.select(F.posexplode(head).alias("at", "line"))
+    lines = r.select(F.posexplode(head).alias("at", "line")).select(F.col("at").cast("long").alias("at"), "line")
     parts = [lines]
     for n, (title, rows, key, width) in enumerate((("by command", by_command(run_records), "cmd", 14), ("passthrough reasons", by_reason(run_records), "reason", 22))):
         named = rows.select(F.col("n"), F.concat(F.lit("  "), F.rpad(F.col(key), width, " "), F.lpad(F.col("n").cast("string"), 8, " ")).alias("line"), F.col(key).alias("key"))
-        body = named.select((F.row_number().over(Window.orderBy(F.desc("n"), "key")) + 1000 * (n + 1)).alias("at"), "line")
-        titled = body.limit(1).select(F.lit(1000 * (n + 1)).alias("at"), F.lit(title).alias("line"))
+        # a section's lines are numbered on from its own multiple of SECTION
+        body = named.select((F.row_number().over(Window.orderBy(F.desc("n"), "key")) + F.lit(SECTION * (n + 1))).alias("at"), "line")
+        titled = body.limit(1).select(F.lit(SECTION * (n + 1)).alias("at"), F.lit(title).alias("line"))
         parts += [titled, body]
     out = parts[0]
     for p in parts[1:]:

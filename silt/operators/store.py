@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silt.functions.scalars import handle, is_handle, rfc3339
+from silt.functions.scalars import handle, is_handle, rfc3339, run_key
 from silt.plans import pipeline
 from silt.schemas import META
 
@@ -20,25 +20,36 @@ MAX_BYTES = 64 << 20
 
 
 def with_handle(runs: DataFrame) -> DataFrame:
-    """Runs (argv, cwd, stdout, stderr as binary, ...) with their content address."""
-    return runs.withColumn("handle", handle(F.col("argv"), F.col("cwd"), F.col("stdout"), F.col("stderr")))
+    """Runs (argv, cwd, stdout, stderr as binary, ...) with their key and their short address."""
+    parts = [F.col(c) for c in ("argv", "cwd", "stdout", "stderr")]
+    return runs.withColumn("run_key", run_key(*parts)).withColumn("handle", handle(*parts))
 
 
 def write(runs: DataFrame, path: str, partitions: int = 16) -> None:
-    """Append runs to a store table; equal runs share an address and are written once.
+    """Add runs to a store table; a run that is there already is not written again.
 
-    ``bucket`` is the first digit of the handle, so that a look-up of one run prunes
-    to one of 16 folders.
+    Runs are told apart by ``run_key``; ``handle`` is for display, and two runs may share
+    one. ``bucket`` is the first digit of the handle, so that a look-up of one run prunes
+    to one of 16 folders, as the search for known keys does to their column.
     """
-    rows = with_handle(runs).dropDuplicates(["handle"]).withColumn("bucket", F.substring("handle", 1, 1))
+    spark = runs.sparkSession
+    rows = with_handle(runs).dropDuplicates(["run_key"]).withColumn("bucket", F.substring("handle", 1, 1))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        rows = rows.join(_table(spark, path).select("bucket", "run_key"), ["bucket", "run_key"], "left_anti")
     rows.repartition(partitions, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A store table; a bucket is text, though some look like numbers."""
+    return spark.read.parquet(path).withColumn("bucket", F.col("bucket").cast("string"))
+
+
 def read_run(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """One run by its handle, from its bucket's folder alone."""
+    """The run of a handle, from its bucket's folder alone; more where runs share the handle."""
     if spark.range(1).select(is_handle(F.lit(key))).first()[0] is not True:
         raise ValueError(f"not a handle: {key!r}")
-    return spark.read.parquet(path).where((F.col("bucket") == key[0]) & (F.col("handle") == key))
+    return _table(spark, path).where((F.col("bucket") == key[0]) & (F.col("handle") == key))
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -53,10 +53,12 @@ def filter_bytes(streams: DataFrame, level: int = R.DETAIL, context_blocks: int
     other = known.where(~F.col("is_text")).select(*KEY, F.col("raw").alias("body"), _line_ends(F.col("raw")).alias("in_lines"), _line_ends(F.col("raw")).alias("out_lines"))
     text = known.where("is_text").select(*KEY, F.col("text").alias("raw"), "exit_code")
     blocks = run(text, context_blocks)
-    counts = R.accounting(blocks).select(*KEY, "lines", "kept_lines")
-    views = R.raw(text) if level == R.RAW else R.render(blocks, text, level)
+    if level == R.RAW:
+        views = text.select(*KEY, F.col("raw").alias("body")).join(R.accounting(blocks).select(*KEY, "lines", "kept_lines"), KEY, "left")
+    else:
+        views = R.counted(blocks, text.select(*KEY), level)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    shown = views.join(counts, KEY, "left").select(*KEY, F.encode("body", "UTF-8").alias("body"), zero("lines").alias("in_lines"), zero("kept_lines").alias("out_lines"))
+    shown = views.select(*KEY, F.encode("body", "UTF-8").alias("body"), zero("lines").alias("in_lines"), zero("kept_lines").alias("out_lines"))
     return shown.unionByName(other)
 
 

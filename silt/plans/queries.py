@@ -98,6 +98,22 @@ def carriage_overwrite(spark, sf_dir):
     return document_lines(spark, sf_dir).select("run_id", "origin", T.apply_overwrites(F.translate("text", " ", "\r")).alias("text"))
 
 
+_SHOWN_SQL = "CASE origin % 4 WHEN 0 THEN chr(27) || '[3' || (origin % 8) || 'm' || text || chr(27) || '[0m' WHEN 1 THEN text || chr(13) || substr(text, 1, 4) || 'done' WHEN 2 THEN 'wait' || chr(27) || '[K' || chr(13) || text || chr(13) ELSE text END"
+
+
+@query(f"WITH {O.DOCUMENTS}, {O.lines()}, v AS (SELECT run_id, origin, {_SHOWN_SQL} AS text FROM lines) SELECT run_id, origin, {O.clean_line('text')} AS text FROM v")
+def clean_lines(spark, sf_dir):
+    """Lines with escapes, with carriage returns, with both and with neither."""
+    n, t = F.col("origin") % 4, F.col("text")
+    raw = (
+        F.when(n == 0, F.concat(F.lit(f"{ESC}[3"), (F.col("origin") % 8).cast("string"), F.lit("m"), t, F.lit(f"{ESC}[0m")))
+        .when(n == 1, F.concat(t, F.lit("\r"), F.substring(t, 1, 4), F.lit("done")))
+        .when(n == 2, F.concat(F.lit(f"wait{ESC}[K\r"), t, F.lit("\r")))
+        .otherwise(t)
+    )
+    return document_lines(spark, sf_dir).select("run_id", "origin", T.clean_line(raw).alias("text"))
+
+
 @query(f"SELECT doc_id, {O.sub('text', '[0-9]+', '#')} AS text FROM documents")
 def normalise_digits(spark, sf_dir):
     return ST.table(spark, sf_dir, "documents").select("doc_id", T.normalise_digits(F.col("text")).alias("text"))
@@ -304,6 +320,20 @@ def log_by_reason(spark, sf_dir):
     return G.by_reason(G.runs(run_log(spark, sf_dir)))
 
 
+@query(f"""WITH {_LOG}, t AS (SELECT count(*) AS n, sum(out_bytes + err_bytes)::BIGINT AS bytes, sum(coalesce(in_tok, 0))::BIGINT AS a, sum(coalesce(out_tok, 0))::BIGINT AS b, count(*) FILTER (passthrough) AS p FROM runs),
+c AS (SELECT cmd AS k, count(*) AS n FROM runs GROUP BY cmd), w AS (SELECT reason AS k, count(*) AS n FROM runs WHERE passthrough AND reason IS NOT NULL GROUP BY reason),
+parts AS (SELECT 0 AS s, unnest(range(6)) AS i, unnest([rpad('runs', 18, ' ') || lpad(n::VARCHAR, 10, ' '), rpad('passthrough', 18, ' ') || lpad(p::VARCHAR, 10, ' ') || '  (' || round_even(100.0 * p / n, 0)::INT || '%)', rpad('captured bytes', 18, ' ') || lpad(bytes::VARCHAR, 10, ' '),
+  rpad('input tokens', 18, ' ') || lpad(a::VARCHAR, 10, ' '), rpad('output tokens', 18, ' ') || lpad(b::VARCHAR, 10, ' '), rpad('reduction', 18, ' ') || lpad(printf('%.1f', round_even(100.0 - 100.0 * b / a, 1)), 9, ' ') || '%  (output tokens only)']) AS line FROM t
+  UNION ALL SELECT 1, 0, 'by command' UNION ALL SELECT 1, row_number() OVER (ORDER BY n DESC, k), '  ' || rpad(k, 14, ' ') || lpad(n::VARCHAR, 8, ' ') FROM c
+  UNION ALL SELECT 2, 0, 'passthrough reasons' FROM (SELECT 1 FROM w LIMIT 1) UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, k), '  ' || rpad(k, 22, ' ') || lpad(n::VARCHAR, 8, ' ') FROM w)
+SELECT row_number() OVER (ORDER BY s, i) AS n, line FROM parts""")
+def log_printed(spark, sf_dir):
+    """The report as text: its lines in order, numbered on."""
+    from pyspark.sql import Window
+
+    return G.printed(run_log(spark, sf_dir)).select(F.row_number().over(Window.orderBy("at")).cast("long").alias("n"), "line")
+
+
 @query(f"WITH {_LOG}, m AS (SELECT max(t) AS last FROM runs), c AS (SELECT strftime(strptime(last, '%Y-%m-%dT%H:%M:%SZ') - INTERVAL 7 DAY, '%Y-%m-%dT%H:%M:%SZ') AS cut FROM m) SELECT cmd, count(*) AS n FROM runs, c WHERE t >= cut AND cmd = 'click' GROUP BY cmd")
 def log_since(spark, sf_dir):
     log = run_log(spark, sf_dir)
@@ -350,6 +380,20 @@ def order_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("store"), F.lpad(F.lower(F.hex("o_orderkey")), 8, "0").alias("handle"), F.rint(F.col("o_totalprice") * 100).cast("long").alias("bytes"), F.col("o_orderdate").alias("modified"))
 
 
+@query("SELECT s_suppkey, s_name AS out, 1::BIGINT AS copies FROM supplier")
+def store_written(spark, sf_dir):
+    """Runs written to a store twice, and listed: each is there once."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
+    rows = ST.table(spark, sf_dir, "supplier").select(F.array("s_name").alias("argv"), F.lit("/work").alias("cwd"), F.encode("s_name", "UTF-8").alias("stdout"), F.lit(b"").alias("stderr"), "s_suppkey")
+    K.write(rows.where("s_suppkey % 2 = 0"), path)
+    K.write(rows, path)
+    K.write(rows, path)
+    return spark.read.parquet(path).groupBy("s_suppkey", F.decode("stdout", "UTF-8").alias("out")).agg(F.count("*").alias("copies"))
+
+
 @query("SELECT lower(printf('%08x', l_orderkey)) AS handle, sum(l_partkey)::BIGINT AS bytes, max(l_shipdate)::VARCHAR AS modified FROM lineitem GROUP BY l_orderkey")
 def store_entries(spark, sf_dir):
     files = ST.table(spark, sf_dir, "lineitem").select(F.lpad(F.lower(F.hex("l_orderkey")), 8, "0").alias("handle"), F.col("l_partkey").alias("length"), F.col("l_shipdate").alias("modified"))

@@ -131,3 +131,17 @@ def test_events_log_counts(spark):
     assert count("keep") == {"Force": 72, "Normal": 186, "Drop": 25}
     gone = {r["reason"]: r["n"] for r in blocks.where("keep = 'Drop'").groupBy("reason").agg(F.sum("n_lines").alias("n")).collect()}
     assert gone == {"progress": 26, "dedupe": 23}
+
+
+def test_report_runs_the_chain_once(spark):
+    """Counts and bodies come from one pass: one fold in Python, and the streams scanned twice."""
+    import io
+    from contextlib import redirect_stdout
+
+    streams = spark.createDataFrame([(1, "stdout", "a\nb", 0)], "run_id long, stream string, raw string, exit_code int")
+    binary = streams.withColumn("raw", F.encode("raw", "UTF-8"))
+    for rows in (render.report(P.run(streams), streams), P.filter_bytes(binary)):
+        plan = io.StringIO()
+        with redirect_stdout(plan):
+            rows.explain()
+        assert plan.getvalue().count("ArrowEvalPython") == 1

@@ -72,6 +72,23 @@ def test_store_round_trip(spark, tmp_path):
         store.read_run(spark, path, "../etc")
 
 
+def test_store_keeps_distinct_runs(spark, tmp_path, monkeypatch):
+    """Two writes of a run give one row; two runs of one short address give two."""
+    monkeypatch.setattr(store, "handle", lambda *_: F.lit("00000000"))
+    runs = spark.createDataFrame([(["a"], "/", bytearray(b"x"), bytearray(b"")), (["b"], "/", bytearray(b"x"), bytearray(b""))], "argv array<string>, cwd string, stdout binary, stderr binary")
+    path = str(tmp_path / "store")
+    for _ in range(3):
+        store.write(runs, path)
+    got = store.read_run(spark, path, "00000000").collect()
+    assert sorted(r["argv"][0] for r in got) == ["a", "b"] and len({r["run_key"] for r in got}) == 2
+
+
+def test_printed_report_of_many_commands(spark):
+    df = spark.range(3000).selectExpr("concat('c', id) as cmd", "1L as in_tok", "1L as out_tok", "id % 2 = 0 as passthrough", "concat('r', id) as reason", "1L as out_bytes", "0L as err_bytes")
+    lines = [r["line"] for r in log.printed(df).collect()]
+    assert lines[6] == "by command" and lines.index("passthrough reasons") == 3007 and len(lines) == 3007 + 1 + 1500
+
+
 def test_store_folder(spark, tmp_path):
     for name, files in {"0123abcd": {"stdout": b"hi\n", "stderr": b"", "meta.json": b'{"argv":["a"],"cwd":"/","exit_code":3,"extra":1}'}, "stray": {"stdout": b"no"}}.items():
         (tmp_path / name).mkdir()
