@@ -197,10 +197,41 @@ def near_and_far(seed):
     return out
 
 
-@pytest.mark.parametrize("many", [None, 4])
-def test_keep_one(spark, monkeypatch, many):
-    if many:  # keys in parts, and forests in place of all pairs
-        monkeypatch.setattr(simhash, "MAX_BUCKET", 8)
+@pytest.mark.parametrize(("bucket", "few", "many"), [(4096, 16, 256), (4096, 2, 256), (4096, 2, 4), (5, 2, 4)])
+def test_links_of_crowded_keys(monkeypatch, bucket, few, many):
+    """All pairs, least forests, other forests and keys in parts connect the same groups, run in this process."""
+    for name, value in (("MAX_BUCKET", bucket), ("FEW", few), ("MANY", many)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 2**64, (5, simhash.LANES), np.uint64, endpoint=False)
+    fps = np.unique(centres[rng.integers(0, 5, 60)] ^ (np.uint64(1) << rng.integers(0, 64, (60, simhash.LANES)).astype(np.uint64)), axis=0)
+    keys = np.sort(rng.integers(0, 3, len(fps)))
+    rows = np.concatenate([fps[keys == k] for k in range(3)])
+    columns = [pa.array(keys), *(pa.array(rows[:, n].copy().view(np.int64)) for n in range(simhash.LANES))]
+    whole = pa.RecordBatch.from_arrays(columns, names=["key", *simhash._LANES])
+    batches = [whole.slice(k, 7) for k in range(0, len(rows), 7)]
+    want, got = {}, {}
+    for name, linked in (("want", None), ("got", simhash._wide_links(iter(batches)))):
+        root = {(k, *r): (k, *r) for k, r in zip(keys.tolist(), map(tuple, rows.tolist()), strict=True)}
+        pairs = []
+        if linked is None:
+            pairs = [(a, b) for a in root for b in root if a[0] == b[0] and sum((x ^ y).bit_count() for x, y in zip(a[1:], b[1:], strict=True)) <= simhash.WIDE_DISTANCE]
+        else:
+            for batch in linked:
+                ends = [c.to_numpy().view(np.uint64).tolist() for c in batch.columns]
+                for row in zip(*ends, strict=True):
+                    a, b = row[: simhash.LANES], row[simhash.LANES :]
+                    assert 0 < sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= simhash.WIDE_DISTANCE
+                    k = next(n[0] for n in root if n[1:] == a)
+                    pairs.append(((k, *a), (k, *b)))
+        for _ in range(len(root)):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        (want if name == "want" else got).update(root)
+    assert want == got and len(set(want.values())) < len(want)
+
+
+def test_keep_one(spark):
     texts = near_and_far(4)
     roots = similar_groups(texts)
     docs = frame(spark, [*enumerate(texts), (None, "a lonely text of its own kind"), (5, "another text under the id of five"), (5, "another text under the id of five")])
