@@ -470,14 +470,24 @@ def plan_commands(spark, sf_dir):
     return P.plan(commands, executables).select("n", "action", "program", "reason")
 
 
-INVOCATIONS = [([], "help", ""), (["-h"], "help", ""), (["--version"], "version", ""), (["--what"], "unknown_flag", ""), (["show", "x"], "subcommand", "x"), (["ls", "--help"], "run", "--help"), (["git", "log"], "run", "--no-pager log"), (["-"], "run", "")]
+# Twelve shapes of a command line around a word; null stands for the word.
+ARGVS: list[list[str | None]] = [[], ["-h"], ["--help", None], ["--version"], ["-V"], ["--what", None], ["show", None], ["/usr/bin/git", None, "--all"], ["git"], ["--", None], [None, "--help"], ["-", None]]
+_ARGV_SQL = "CASE p_partkey % 12 " + " ".join(f"WHEN {n} THEN [{', '.join('w' if x is None else O.q(x) for x in a)}]::VARCHAR[]" for n, a in enumerate(ARGVS)) + " END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{k}', '{c}')" for n, (_, k, c) in enumerate(INVOCATIONS)) + ") t(n, kind, child)")
+@query(f"""WITH t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part), a AS (SELECT p_partkey, {_ARGV_SQL} AS argv FROM t)
+SELECT p_partkey, CASE WHEN len(argv) = 0 OR argv[1] IN ('-h', '--help') THEN 'help' WHEN argv[1] IN ('-V', '--version') THEN 'version' WHEN argv[1] LIKE '-%' AND argv[1] NOT IN ('-', '--') THEN 'unknown_flag'
+  WHEN argv[1] IN ({", ".join(O.q(c) for c in C.SUBCOMMANDS)}) THEN 'subcommand' ELSE 'run' END AS kind,
+  coalesce(array_to_string(CASE WHEN list_extract(string_split(argv[1], '/'), -1) = 'git' THEN list_concat(['--no-pager'], argv[2:]) ELSE argv[2:] END, ' '), '') AS child FROM a""")
 def invocations(spark, sf_dir):
-    rows = spark.createDataFrame([(n, a) for n, (a, _, _) in enumerate(INVOCATIONS)], "n int, argv array<string>")
+    """What command lines ask for, and what their child is given."""
+    word, argv = F.split("p_name", " ")[0], F.array().cast("array<string>")
+    for n, shape in enumerate(ARGVS):
+        if shape:
+            argv = F.when(F.col("p_partkey") % 12 == n, F.array(*(word if x is None else F.lit(x) for x in shape))).otherwise(argv)
+    rows = ST.table(spark, sf_dir, "part").select("p_partkey", argv.alias("argv"))
     child = F.when(F.size("argv") > 0, F.array_join(C.child_args(F.col("argv")), " ")).otherwise("")
-    return rows.select("n", C.invocation(F.col("argv")).alias("kind"), child.alias("child"))
+    return rows.select("p_partkey", C.invocation(F.col("argv")).alias("kind"), child.alias("child"))
 
 
 @query("SELECT n_nationkey, n_name AS kept, 1 AS size FROM nation")
