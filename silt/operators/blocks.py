@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silt.sources.streams import KEY
@@ -28,24 +28,38 @@ def assign_blocks(flagged: DataFrame) -> DataFrame:
 def split_repeats(lines: DataFrame) -> DataFrame:
     """Runs of three or more equal lines in a block that is not all progress, set apart.
 
-    The run's first line becomes a block of its own that carries ``repeats``; the other
-    copies become a dropped block (``copies``). Blocks are numbered anew.
+    The run's first line becomes a block of its own, marked ``repeated``; the other
+    copies become a dropped block (``copies``). Blocks are numbered anew. All windows
+    share one sort: a line's place in its run shows in the lines up to three away.
     """
-    order = Window.partitionBy(*KEY, "block").orderBy("origin")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    new = F.coalesce(F.col("text") != F.lag("text").over(order), F.lit(True)).cast("int")
-    lines = lines.select("*", F.min("progress").over(whole).alias("all_progress"), new.alias("_new"), (F.row_number().over(order) == 1).alias("_first"))
-    lines = lines.withColumn("_run", F.sum("_new").over(order))
-    run = Window.partitionBy(*KEY, "block", "_run").orderBy("origin")
-    lines = lines.select("*", F.count("*").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"), F.row_number().over(run).alias("_at"))
-    lines = lines.withColumn("_was", F.lag("_n").over(order))
-    long = (F.col("_n") >= 3) & ~F.col("all_progress")
-    after = (F.col("_at") == 1) & (F.coalesce(F.col("_was"), F.lit(0)) >= 3) & ~F.col("all_progress")
-    starts = F.col("_first") | (long & F.col("_at").isin(1, 2)) | after
-    lines = lines.withColumn("repeats", F.when(long & (F.col("_at") == 1), F.col("_n"))).withColumn("copies", long & (F.col("_at") > 1)).withColumn("_starts", starts)
-    stream = Window.partitionBy(*KEY).orderBy("origin")
-    lines = lines.withColumn("block", F.sum(F.col("_starts").cast("int")).over(stream))
-    return lines.drop("_new", "_run", "_n", "_at", "_was", "_first", "_starts")
+    whole = Window.partitionBy(*KEY, "block").orderBy("origin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = Window.partitionBy(*KEY).orderBy("block", "origin")
+
+    def like(here: Column, column: str, k: int) -> Column:
+        return F.coalesce(F.lag(column, k).over(order) == here, F.lit(False))
+
+    def same(k: int) -> Column:
+        """Whether the line ``k`` before (after, if negative) is of this block and equal."""
+        return like(F.col("block"), "block", k) & like(F.col("text"), "text", k)
+
+    lines = lines.withColumn("all_progress", F.min("progress").over(whole))
+    before = F.lag("text", 1).over(order)
+    lines = lines.select(
+        "*",
+        (~like(F.col("block"), "block", 1)).alias("_first"),
+        same(1).alias("_b1"),
+        (same(1) & same(2)).alias("_b2"),
+        same(-1).alias("_f1"),
+        (same(-1) & same(-2)).alias("_f2"),
+        (like(F.col("block"), "block", 3) & like(before, "text", 2) & like(before, "text", 3)).alias("_was"),
+    )
+    split = ~F.col("all_progress")
+    repeated = split & ~F.col("_b1") & F.col("_f2")
+    copies = split & F.col("_b1") & (F.col("_b2") | F.col("_f1"))
+    starts = F.col("_first") | repeated | (copies & ~F.col("_b2")) | (split & ~F.col("_b1") & F.col("_was"))
+    lines = lines.withColumn("repeated", repeated).withColumn("copies", copies).withColumn("_starts", starts)
+    lines = lines.withColumn("block", F.sum(F.col("_starts").cast("int")).over(order))
+    return lines.drop("_first", "_b1", "_b2", "_f1", "_f2", "_was", "_starts")
 
 
 def gather(lines: DataFrame, extra: list[str] = ["exit_code"]) -> DataFrame:  # noqa: B006
@@ -55,14 +69,17 @@ def gather(lines: DataFrame, extra: list[str] = ["exit_code"]) -> DataFrame:  #
     window keys, so no new shuffle is needed.
     """
     failing = F.when(F.col("failing"), F.struct("origin", "testing"))
-    return lines.groupBy(*KEY, "block").agg(
+    blocks = lines.groupBy(*KEY, "block").agg(
         *[F.first(c).alias(c) for c in extra],
-        F.array_sort(F.collect_list(F.struct("origin", "text"))).alias("lines"),
+        F.sort_array(F.collect_list(F.struct("origin", "text"))).alias("lines"),
         F.count("*").cast("int").alias("n_lines"),
         F.first("all_progress").alias("all_progress"),
-        F.max("repeats").alias("repeats"),
+        F.max("repeated").alias("repeated"),
         F.max("copies").alias("copies"),
         F.min(failing)["testing"].alias("first_failing_tests"),
         F.max("warning").alias("warning"),
         F.max("content").alias("content"),
     )
+    # a repeated line's copies are all of the next block
+    copied = F.lead("n_lines").over(Window.partitionBy(*KEY).orderBy("block")) + F.lit(1)
+    return blocks.withColumn("repeats", F.when(F.col("repeated"), copied)).drop("repeated")

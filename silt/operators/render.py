@@ -54,13 +54,13 @@ def body(blocks: DataFrame, failures_only: bool = False) -> DataFrame:
     blocks = blocks.withColumn("_show", show)
     new = F.coalesce(F.col("_show") != F.lag("_show").over(ordered()), F.lit(True)) | F.col("_show")
     blocks = blocks.withColumn("_new", new.cast("int")).withColumn("_part", F.sum("_new").over(ordered()))
-    text = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
+    text = F.array_join("lines.text", "\n")
     hold = [F.first("handle").alias("handle")] if "handle" in blocks.columns else []
     parts = blocks.groupBy(*KEY, "_part").agg(F.first("_show").alias("_show"), F.sum("n_lines").alias("n"), F.count("*").alias("b"), F.min(F.when(F.col("_show"), text)).alias("t"), _kept_lines(), *hold)
     piece = F.when(F.col("_show"), F.col("t")).otherwise(marker(F.col("n"), REASONS["filtered"], F.col("b"), _handle(parts)))
     parts = parts.select(*KEY, F.struct("_part", piece.alias("piece")).alias("p"), "n", "kept_lines")
-    whole = parts.groupBy(*KEY).agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("n").alias("lines"), F.sum("kept_lines").alias("kept_lines"))
-    return whole.select(*KEY, F.concat(F.array_join(F.transform("p", lambda p: p["piece"]), "\n"), F.lit("\n")).alias("body"), "lines", "kept_lines")
+    whole = parts.groupBy(*KEY).agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("n").alias("lines"), F.sum("kept_lines").alias("kept_lines"))
+    return whole.select(*KEY, F.concat(F.array_join("p.piece", "\n"), F.lit("\n")).alias("body"), "lines", "kept_lines")
 
 
 def counted(blocks: DataFrame, streams: DataFrame, level: int = DETAIL) -> DataFrame:

@@ -40,7 +40,7 @@ def is_failure() -> Column:
 
 
 def block_text() -> Column:
-    return F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
+    return F.array_join("lines.text", "\n")
 
 
 def annotate(lines: Column, total: Column) -> Column:
@@ -60,7 +60,7 @@ def drop_progress(blocks: DataFrame) -> DataFrame:
 
 def collapse_adjacent(blocks: DataFrame) -> DataFrame:
     """Of adjacent kept blocks with equal lines the first stays, with their number."""
-    blocks = blocks.withColumn("_text", F.transform("lines", lambda x: x["text"]))
+    blocks = blocks.withColumn("_text", F.col("lines.text"))
     same = kept() & (F.lag("keep").over(ordered()) != "Drop") & (F.col("_text") == F.lag("_text").over(ordered()))
     blocks = blocks.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(ordered()))
     run = Window.partitionBy(*KEY, "_run").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -83,13 +83,14 @@ def collapse_windows(blocks: DataFrame) -> DataFrame:
     columns = [c for c in blocks.columns if c not in KEY]
     flat = normalise_digits(block_text())
     live = blocks.withColumn("_key", F.when(kept(), F.xxhash64(flat, F.length(flat)))).withColumn("_at", F.sum(kept().cast("int")).over(ordered()))
-    rows = live.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("block", *(c for c in columns if c != "block"), "_key", "_at"))).alias("_b"))
-    keys = F.filter(F.transform("_b", lambda b: b["_key"]), lambda k: k.isNotNull())
+    rows = live.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("block", *(c for c in columns if c != "block"), "_key", "_at"))).alias("_b"))
+    keys = F.filter(F.col("_b._key"), lambda k: k.isNotNull())
     search = F.pandas_udf(fold_codes, "array<long>")
     rows = rows.withColumn("_codes", search(F.when(F.size(keys) >= LIVE_LEAST, keys)))
-    code = lambda b: F.when((b["keep"] != "Drop") & (F.size("_codes") > 0), F.element_at("_codes", b["_at"].cast("int")))
-    coded = F.transform("_b", lambda b: F.struct(*(b[c].alias(c) for c in columns), F.coalesce(code(b), F.lit(0).cast("long")).alias("_code")))
-    out = rows.select(*KEY, F.explode(coded).alias("_b")).select(*KEY, *(F.col(f"_b.{c}").alias(c) for c in [*columns, "_code"]))
+    code = lambda b: F.when(b["keep"] != "Drop", F.element_at("_codes", b["_at"].cast("int")))
+    codes = F.when(F.size("_codes") > 0, F.transform("_b", code)).otherwise(F.array().cast("array<long>"))
+    out = rows.select(*KEY, F.explode(F.arrays_zip("_b", codes.alias("_code"))).alias("_z"))
+    out = out.select(*KEY, *(F.col(f"_z._b.{c}").alias(c) for c in columns), F.coalesce("_z._code", F.lit(0)).alias("_code"))
     gone, times = F.col("_code") < 0, F.when(F.abs("_code") > 1, F.abs("_code"))
     out = out.withColumn("lines", annotate(F.col("lines"), times)).withColumn("marked", F.col("marked") | times.isNotNull())
     out = out.withColumn("reason", F.when(gone, "dedupe").otherwise(F.col("reason"))).withColumn("keep", F.when(gone, "Drop").otherwise(F.col("keep")))
