@@ -11,6 +11,7 @@ from silt.schemas import RUN_RECORD
 
 TAIL = 20
 GENERATIONS = 5
+ROTATE_BYTES = 8 << 20
 #: More lines than any section of the printed report can have.
 SECTION = 1 << 40
 OWN_FIELDS = ["t", "lvl", "type", "msg"]
@@ -129,6 +130,17 @@ def keep_generations(files: DataFrame, n: int = GENERATIONS) -> DataFrame:
     return files.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+def rotation(files: DataFrame, max_bytes: int = ROTATE_BYTES, n: int = GENERATIONS) -> DataFrame:
+    """Every log file (log, generation, bytes; 0 is the live one) with the generation it goes to.
+
+    A log rotates once its live file is over ``max_bytes``: each generation moves up by one,
+    and what passes ``n`` goes (null). All other files stay as they are.
+    """
+    live = F.max(F.when(F.col("generation") == 0, F.col("bytes"))).over(Window.partitionBy("log"))
+    up = F.when(F.col("generation") < n, F.col("generation") + 1)
+    return files.withColumn("_live", live).withColumn("goes_to", F.when(F.col("_live") > max_bytes, up).otherwise(F.col("generation"))).drop("_live")
+
+
 def percentiles(values: DataFrame, key: list[str], value: str, shares: list[float]) -> DataFrame:
     """Exact nearest-rank percentiles by key: the value of rank floor((n - 1) q).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGRESSION = 1.2
@@ -10,6 +10,24 @@ NOISE_US = 100
 GROWTH = 8.0
 
 
+_TIMES = "struct<p50_us:long,p99_us:long>"
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(fixture, stage, p50, p99) of a baseline file; a fixture's whole is its stage ``total``."""
+    return parse_baseline(spark.read.text(path, wholetext=True))
+
+
+def parse_baseline(files: DataFrame, value: str = "value") -> DataFrame:
+    """Baseline files given as texts; a text that is no JSON object gives no rows."""
+    parsed = F.from_json(value, f"map<string,struct<stages:map<string,{_TIMES}>,total:{_TIMES}>>")
+    fixtures = files.select(F.explode(parsed).alias("fixture", "f"))
+    whole = F.when(F.col("f.total").isNotNull(), F.create_map(F.lit("total"), F.col("f.total")))
+    none = F.create_map().cast(f"map<string,{_TIMES}>")
+    stages = F.map_concat(F.coalesce("f.stages", none), F.coalesce(whole, none))
+    return fixtures.select("fixture", F.explode(stages).alias("stage", "t")).select("fixture", "stage", F.col("t.p50_us").alias("p50"), F.col("t.p99_us").alias("p99"))
+
+
 def against_baseline(measured: DataFrame, baseline: DataFrame, limit: float = REGRESSION, noise: int = NOISE_US) -> DataFrame:
     """(fixture, stage, p50) with the baseline's ``was``, the ratio and a verdict.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silt.functions import scalars as C
@@ -18,7 +19,9 @@ from silt.operators import stages as S
 from silt.operators import store as K
 from silt.plans import oracle as O
 from silt.plans import pipeline as PL
+from silt.sources import capture as CP
 from silt.sources import streams as ST
+from silt.streaming import reports as RP
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +46,12 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.from_events(ST.table(spark, sf_dir, "events"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.split_lines(ST.from_text(ST.table(spark, sf_dir, "documents"), "doc_id", "text"))
 
@@ -235,6 +244,16 @@ def render_detail(spark, sf_dir):
     return PL.filter_view(events_log(spark, sf_dir), R.DETAIL)
 
 
+_WITH_HANDLE = O.view(R.DETAIL).replace(f" · {R.REASONS['filtered']}]'", f" · {R.REASONS['filtered']} · {T.TAG} show ' || printf('%08x', run_id) || ' --level 3]'")
+
+
+@query(_WITH_HANDLE)
+def render_with_handle(spark, sf_dir):
+    """Markers that say how to get what they stand for."""
+    streams = events_log(spark, sf_dir).withColumn("handle", F.lpad(F.lower(F.hex("run_id")), 8, "0"))
+    return PL.filter_view(streams)
+
+
 @query(f"WITH {O.EVENTS} SELECT run_id, stream, {R.RAW}::INT AS level, raw AS body FROM streams")
 def render_raw(spark, sf_dir):
     return PL.filter_view(events_log(spark, sf_dir), R.RAW)
@@ -329,8 +348,6 @@ parts AS (SELECT 0 AS s, unnest(range(6)) AS i, unnest([rpad('runs', 18, ' ') ||
 SELECT row_number() OVER (ORDER BY s, i) AS n, line FROM parts""")
 def log_printed(spark, sf_dir):
     """The report as text: its lines in order, numbered on."""
-    from pyspark.sql import Window
-
     return G.printed(run_log(spark, sf_dir)).select(F.row_number().over(Window.orderBy("at")).cast("long").alias("n"), "line")
 
 
@@ -353,6 +370,46 @@ def log_round_trip(spark, sf_dir):
     return G.parse(written.unionByName(noise)).select(F.col("exit").cast("long").alias("event_id"), "t", "lvl", "cmd", "in_tok", "out_tok", "passthrough", "reason")
 
 
+@query(f"WITH {_LOG} SELECT event_id, 0 AS generation, t, lvl, cmd, in_tok, passthrough FROM runs WHERE lvl <> 'debug'")
+def log_scan(spark, sf_dir):
+    """A log appended to twice and read from its files."""
+    path = scratch(spark, "log")
+    records = run_log(spark, sf_dir).withColumn("exit", F.col("event_id").cast("int"))
+    G.append(records.where("event_id % 2 = 0"), path)
+    G.append(records.where("event_id % 2 = 1"), path)
+    return G.scan(spark, path).select(F.col("exit").cast("long").alias("event_id"), "generation", "t", "lvl", "cmd", "in_tok", "passthrough")
+
+
+@query(f"WITH {_LOG} SELECT date_trunc('hour', strptime(t, '%Y-%m-%dT%H:%M:%SZ'))::VARCHAR AS hour, cmd, count(*) AS runs, sum(coalesce(in_tok, 0))::BIGINT AS in_tok, sum(coalesce(out_tok, 0))::BIGINT AS out_tok, count(*) FILTER (passthrough) AS passthrough FROM runs WHERE lvl <> 'debug' GROUP BY ALL")
+def stream_hourly(spark, sf_dir):
+    """The hourly report of a log as a stream reads it, its last state written as a table."""
+    path, out, state = scratch(spark, "log"), scratch(spark, "hourly"), scratch(spark, "state")
+    G.append(run_log(spark, sf_dir), path)
+    report = RP.hourly(RP.read_log(spark, path)).writeStream.outputMode("complete").option("checkpointLocation", state)
+    report.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "cmd", "runs", "in_tok", "out_tok", "passthrough")
+
+
+_FILES = "f AS (SELECT o_custkey AS log, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS generation, (o_totalprice * 100)::BIGINT AS bytes FROM orders)"
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table as log files: a customer's orders are the generations of a log."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return ST.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("log"), place.cast("int").alias("generation"), F.rint(F.col("o_totalprice") * 100).cast("long").alias("bytes"))
+
+
+@query(f"WITH {_FILES}, l AS (SELECT log, bytes AS live FROM f WHERE generation = 0) SELECT log, generation, bytes, CASE WHEN live <= {G.ROTATE_BYTES} THEN generation WHEN generation < {G.GENERATIONS} THEN generation + 1 END AS goes_to FROM f JOIN l USING (log)")
+def log_rotation(spark, sf_dir):
+    return G.rotation(order_files(spark, sf_dir)).select("log", "generation", "bytes", "goes_to")
+
+
+@query(f"WITH {_FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY log ORDER BY generation) AS place FROM f WHERE generation > 0) SELECT log, generation, bytes FROM r WHERE place <= {G.GENERATIONS}")
+def log_generations(spark, sf_dir):
+    return G.keep_generations(order_files(spark, sf_dir).where("generation > 0")).select("log", "generation", "bytes")
+
+
 @query("SELECT l_returnflag, quantile_disc(l_quantity, 0.0) AS p0, list_extract(list(l_quantity ORDER BY l_quantity), floor((count(*) - 1) * 0.5)::BIGINT + 1) AS p50, list_extract(list(l_quantity ORDER BY l_quantity), floor((count(*) - 1) * 0.99)::BIGINT + 1) AS p99 FROM lineitem GROUP BY l_returnflag")
 def exact_percentiles(spark, sf_dir):
     return G.percentiles(ST.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", [0.0, 0.5, 0.99])
@@ -369,6 +426,36 @@ def baseline_check(spark, sf_dir):
     return M.against_baseline(measured, baseline).select("fixture", "stage", F.round("ratio", 6).alias("ratio"), "verdict")
 
 
+_TIMED = "t AS (SELECT l_suppkey AS fixture, [1, 4, 16][l_linenumber] AS scale, sum(l_partkey % 50)::BIGINT AS p50 FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)"
+
+
+@query(f"""WITH {_TIMED}, g AS (SELECT fixture, max(greatest(p50, 1)) FILTER (scale = 1) AS a, max(greatest(p50, 1)) FILTER (scale = 4) AS b, max(greatest(p50, 1)) FILTER (scale = 16) AS c FROM t GROUP BY fixture)
+SELECT fixture, round(b / a, 6) AS g4, round(c / b, 6) AS g16, CASE WHEN b / a > {M.GROWTH} OR c / b > {M.GROWTH} THEN 'superlinear' ELSE 'ok' END AS verdict FROM g""")
+def growth_check(spark, sf_dir):
+    rows = ST.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    scale = F.element_at(F.array(F.lit(1), F.lit(4), F.lit(16)), F.col("l_linenumber").cast("int"))
+    times = rows.groupBy(F.col("l_suppkey").alias("fixture"), scale.alias("scale")).agg(F.sum(F.col("l_partkey") % 50).alias("p50"))
+    return M.growth(times).select("fixture", F.round("g4", 6).alias("g4"), F.round("g16", 6).alias("g16"), "verdict")
+
+
+@query("SELECT 'supplier ' || s_suppkey AS fixture, unnest(['parse', 'render', 'total']) AS stage, unnest([s_suppkey, s_nationkey, s_suppkey + s_nationkey])::BIGINT AS p50, unnest([s_suppkey, s_nationkey, s_suppkey + s_nationkey])::BIGINT * 2 AS p99 FROM supplier")
+def baseline_read(spark, sf_dir):
+    """Baseline files, one for each supplier, read from their JSON."""
+    timed = lambda c: F.struct(c.cast("long").alias("p50_us"), (c * 2).cast("long").alias("p99_us"))
+    a, b = F.col("s_suppkey"), F.col("s_nationkey")
+    fixture = F.struct(a.alias("bytes"), F.create_map(F.lit("parse"), timed(a), F.lit("render"), timed(b)).alias("stages"), timed(a + b).alias("total"))
+    files = ST.table(spark, sf_dir, "supplier").select(F.to_json(F.create_map(F.concat(F.lit("supplier "), a.cast("string")), fixture)).alias("value"))
+    path = scratch(spark, "baseline")
+    files.write.text(path)
+    return M.parse_baseline(spark.read.text(path))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5000 >= 1024 THEN (o_orderkey % 5000) // 1024 || ' KB' ELSE (o_orderkey % 5000) || ' B' END AS size, o_custkey / 1000 AS ms FROM orders")
+def sizes_shown(spark, sf_dir):
+    n = F.col("o_orderkey") % 5000
+    return ST.table(spark, sf_dir, "orders").select("o_orderkey", M.format_bytes(n).alias("size"), M.milliseconds(F.col("o_custkey")).alias("ms"))
+
+
 # -- store -----------------------------------------------------------------------------
 
 _STORE = "st AS (SELECT o_custkey AS store, lower(printf('%08x', o_orderkey)) AS handle, (o_totalprice * 100)::BIGINT AS bytes, o_orderdate AS modified FROM orders)"
@@ -383,10 +470,7 @@ def order_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, s_name AS out, 1::BIGINT AS copies FROM supplier")
 def store_written(spark, sf_dir):
     """Runs written to a store twice, and listed: each is there once."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = scratch(spark, "store")
     rows = ST.table(spark, sf_dir, "supplier").select(F.array("s_name").alias("argv"), F.lit("/work").alias("cwd"), F.encode("s_name", "UTF-8").alias("stdout"), F.lit(b"").alias("stderr"), "s_suppkey")
     K.write(rows.where("s_suppkey % 2 = 0"), path)
     K.write(rows, path)
@@ -470,6 +554,41 @@ def plan_commands(spark, sf_dir):
     return P.plan(commands, executables).select("n", "action", "program", "reason")
 
 
+#: Twelve command lines around a word; null stands for the word.
+PLANNED: list[list[str | None]] = [["ls", None], ["/usr/bin/vim", None], ["python3", "-q"], ["python3", None], ["git", "commit", "-m", None], ["git", "add", "-p", None], ["git", "rebase", "-i"], ["git", "log", "--format=%H", None], ["ls", "--porcelain"], ["cargo", "-q", None], [None], ["me", None]]
+_PLANNED_SQL = "CASE p_partkey % 12 " + " ".join(f"WHEN {n} THEN [{', '.join('w' if x is None else O.q(x) for x in a)}]::VARCHAR[]" for n, a in enumerate(PLANNED)) + " END"
+_LISTS = {name: "[" + ", ".join(O.q(x) for x in getattr(P, name)) + "]" for name in ("ALWAYS_INTERACTIVE", "REPLS", "GIT_EDITORS", "GIT_PATCHES", "GIT_PROMPTS", "GIT_MACHINE_FLAGS", "MACHINE_FLAGS")}
+_GIT_TAKES = f"(tty AND list_contains({_LISTS['GIT_EDITORS']}, sub)) OR (list_contains({_LISTS['GIT_PATCHES']}, sub) AND list_has_any(args, ['-p', '--patch'])) OR (list_contains({_LISTS['GIT_PROMPTS']}, sub) AND list_has_any(args, ['-i', '--interactive']))"
+_GIT_SHOWS = f"list_has_any(args, {_LISTS['GIT_MACHINE_FLAGS']}) OR len(list_filter(args, lambda a: {' OR '.join(f'starts_with(a, {O.q(x)})' for x in P.GIT_MACHINE_PREFIXES)})) > 0"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w, p_size % 2 = 0 AS tty, p_size % 11 = 0 AS raw FROM part), a AS (SELECT *, {_PLANNED_SQL} AS argv FROM t),
+e(name, dir_rank, dir, own) AS (VALUES {", ".join(f"('{n}', {k}, '{d}', {o})" for n, k, d, o in EXECUTABLES)}),
+f AS (SELECT name, arg_min(dir || '/' || name, dir_rank) AS place, arg_min(own, dir_rank) AS own FROM e WHERE dir <> '' GROUP BY name),
+b AS (SELECT a.*, place, own, list_extract(string_split(argv[1], '/'), -1) AS cmd, argv[2:] AS args, list_filter(argv[2:], lambda x: NOT starts_with(x, '-')) AS words FROM a LEFT JOIN f ON f.name = argv[1]),
+c AS (SELECT *, words[1] AS sub FROM b),
+d AS (SELECT *, CASE WHEN raw THEN 'mode_raw'
+  WHEN list_contains({_LISTS["ALWAYS_INTERACTIVE"]}, cmd) OR (list_contains({_LISTS["REPLS"]}, cmd) AND len(words) = 0) OR (cmd = 'git' AND sub IS NOT NULL AND ({_GIT_TAKES})) THEN 'interactive'
+  WHEN list_has_any(args, {_LISTS["MACHINE_FLAGS"]}) OR (cmd = 'git' AND ({_GIT_SHOWS})) THEN 'machine_readable_flag' WHEN place IS NULL THEN 'not_found' WHEN own THEN 'self_reference' END AS reason FROM c)
+SELECT p_partkey, CASE WHEN reason IS NULL THEN 'capture' ELSE 'passthrough' END AS action, CASE WHEN reason IS NULL THEN place END AS program, reason FROM d""")
+def plan_parts(spark, sf_dir):
+    """What to do with command lines made of the part table, by the rules and not by answers."""
+    word, argv = F.split("p_name", " ")[0], F.lit(None).cast("array<string>")
+    for n, shape in enumerate(PLANNED):
+        argv = F.when(F.col("p_partkey") % 12 == n, F.array(*(word if x is None else F.lit(x) for x in shape))).otherwise(argv)
+    commands = ST.table(spark, sf_dir, "part").select("p_partkey", argv.alias("argv"), (F.col("p_size") % 2 == 0).alias("tty"), (F.col("p_size") % 11 == 0).alias("raw"))
+    executables = spark.createDataFrame(EXECUTABLES, "name string, dir_rank int, dir string, own boolean")
+    return P.plan(commands, executables).select("p_partkey", "action", "program", "reason")
+
+
+@query("SELECT n_name AS name, 'out ' || n_name AS out, 'err' AS err, 3 AS exit_code FROM nation")
+def captured_commands(spark, sf_dir):
+    """One command for each nation, run where its row is; both streams and its exit code."""
+    script = "printf 'out %s' \"$1\"; printf err >&2; exit 3"
+    commands = ST.table(spark, sf_dir, "nation").select(F.array(F.lit("/bin/sh"), F.lit("-c"), F.lit(script), F.lit("sh"), F.col("n_name")).alias("argv"), F.lit("/").alias("cwd"))
+    return CP.run_commands(commands).select(F.col("argv")[4].alias("name"), F.decode("stdout", "UTF-8").alias("out"), F.decode("stderr", "UTF-8").alias("err"), "exit_code")
+
+
 # Twelve shapes of a command line around a word; null stands for the word.
 ARGVS: list[list[str | None]] = [[], ["-h"], ["--help", None], ["--version"], ["-V"], ["--what", None], ["show", None], ["/usr/bin/git", None, "--all"], ["git"], ["--", None], [None, "--help"], ["-", None]]
 _ARGV_SQL = "CASE p_partkey % 12 " + " ".join(f"WHEN {n} THEN [{', '.join('w' if x is None else O.q(x) for x in a)}]::VARCHAR[]" for n, a in enumerate(ARGVS)) + " END"

@@ -146,6 +146,19 @@ def test_generations(spark):
     assert sorted(r["generation"] for r in log.keep_generations(df).collect()) == [0, 1, 2, 3, 4]
 
 
+def test_rotation(spark):
+    files = [("a", 0, 9), ("a", 1, 5), ("a", 5, 5), ("b", 0, 8), ("b", 5, 9), ("c", 1, 99)]
+    got = {(r["log"], r["generation"]): r["goes_to"] for r in log.rotation(spark.createDataFrame(files, "log string, generation int, bytes long"), 8).collect()}
+    assert got == {("a", 0): 1, ("a", 1): 2, ("a", 5): None, ("b", 0): 0, ("b", 5): 5, ("c", 1): 1}
+
+
+def test_baseline_file(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{\n "x": {"bytes": 1, "stages": {"parse": {"p50_us": 2, "p99_us": 3}}, "total": {"p50_us": 4, "p99_us": 5}},\n "y": {}\n}')
+    got = sorted(tuple(r) for r in measure.read_baseline(spark, str(tmp_path / "b.json")).collect())
+    assert got == [("x", "parse", 2, 3), ("x", "total", 4, 5)]
+    assert measure.parse_baseline(spark.createDataFrame([("broken",), (None,)], "value string")).count() == 0
+
+
 def test_plan(spark):
     got = {r["n"]: (r["action"], r["program"], r["reason"]) for r in queries.plan_commands(spark, "").collect()}
     assert got == {n: c[3:] for n, c in enumerate(queries.COMMANDS)}
