@@ -255,8 +255,11 @@ WIDE_BLOCKS, WIDE_AGREE = 10, 3
 WIDE_DISTANCE = 26
 #: The share of all their shingles that linked texts have in common, at least.
 SIMILARITY = 0.8
-#: Fingerprints of one key of which every close pair is verified, or the closest ones.
+#: Fingerprints of one group of which every close pair is verified; those of one key of which trees are least.
 FEW, MANY = 16, 256
+#: Counters of the table that ranks shingles by how common they are; it settles an order only.
+RANKS = 1 << 20
+_CELLS = np.uint64(RANKS)
 
 
 def wide_fingerprints(texts: pa.Array, a: int, b: int, shingle: int = WIDE_SHINGLE) -> np.ndarray:
@@ -302,83 +305,111 @@ def _wide_differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1)
 
 
-def _wide_forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Links among distinct fingerprints, and one of each connected group.
+def _wide_trees(fps: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of distinct fingerprints, those with none within the distance, and a tree of each
+    connected group: its members, and what each was reached from (the first: itself).
 
-    Of FEW every pair within the distance; of MANY a least spanning forest, which
-    links each to what it is closest to; of more a forest of any such links.
+    Of MANY or fewer a least tree, which reaches each member from what it is closest to.
     """
     n = len(fps)
     if n <= MANY:
         apart = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2).astype(np.int64)
-        if n <= FEW:
-            i, j = np.nonzero(np.triu(apart <= WIDE_DISTANCE, 1))
-            return [fps[i]], [fps[j]], fps[~np.isin(np.arange(n), j)]
-        ones, others, first = [], [], []
-        near, by, out = np.full(n, 1 << 20), np.zeros(n, np.int64), np.zeros(n, bool)
-        for _ in range(n):
+        some = (apart <= WIDE_DISTANCE).sum(axis=1) > 1
+        lone, met = np.flatnonzero(~some), np.flatnonzero(some)
+        apart = apart[np.ix_(met, met)]
+        near, by, out = np.full(len(met), 1 << 20), np.arange(len(met)), np.zeros(len(met), bool)
+        order, heads = [], []
+        for place in range(len(met)):
             x = int(np.where(out, 1 << 21, near).argmin())
-            if near[x] <= WIDE_DISTANCE:
-                ones.append(fps[by[x]][None])
-                others.append(fps[x][None])
-            else:
-                first.append(fps[x])
+            if near[x] > WIDE_DISTANCE:
+                heads.append(place)
+                by[x] = x
+            order.append(x)
             out[x] = True
-            closer = apart[x] < near
+            closer = ~out & (apart[x] < near)
             near[closer], by[closer] = apart[x][closer], x
-        return ones, others, np.array(first, np.uint64).reshape(-1, LANES)
-    left, ones, others, first = fps, [], [], []
+        parts = np.split(np.array(order, np.int64), heads[1:]) if heads else []
+        return lone, [(met[t], met[by[t]]) for t in parts]
+    left, lone, trees = np.arange(n), [], []
     while len(left):
-        todo, left = [left[0]], left[1:]
-        first.append(todo[0])
+        at, by, todo, left = [left[:1]], [left[:1]], [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            near = _wide_differ(left, x[None, :]) <= WIDE_DISTANCE
+            near = _wide_differ(fps[left], fps[x][None, :]) <= WIDE_DISTANCE
             if near.any():
                 found = left[near]
                 todo.extend(found)
-                ones.append(np.broadcast_to(x, found.shape))
-                others.append(found)
+                at.append(found)
+                by.append(np.full(len(found), x))
                 left = left[~near]
-    return ones, others, np.array(first, np.uint64).reshape(-1, LANES)
+        if len(at) > 1:
+            trees.append((np.concatenate(at), np.concatenate(by)))
+        else:
+            lone.append(at[0][0])
+    return np.array(lone, np.int64), trees
+
 
+def _wide_forest(fps: np.ndarray, crowd: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Links among distinct fingerprints, one of each connected group, and the members of
+    groups of over ``crowd``.
 
-def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Of a group of FEW every pair within the distance, of a larger one its tree.
+    """
+    lone, trees = _wide_trees(fps)
+    ones, others, crowded = [], [], []
+    for at, by in trees:
+        own = fps[at]
+        if len(at) <= FEW:
+            i, j = np.nonzero(np.triu(np.bitwise_count(own[:, None, :] ^ own[None, :, :]).sum(axis=2) <= WIDE_DISTANCE, 1))
+            ones.append(own[i])
+            others.append(own[j])
+        else:
+            ones.append(fps[by[1:]])
+            others.append(own[1:])
+        if len(at) > crowd:
+            crowded.append(own)
+    return ones, others, fps[np.concatenate((lone, [at[0] for at, _ in trees])).astype(np.int64)], crowded
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch], mark: bool = False) -> Iterator[pa.RecordBatch]:
     """Links among fingerprints of one key, from a sorted stream.
 
     A key's rows are handled in parts of at most MAX_BUCKET; from part to part one of each
-    group found is carried, so a group of copies of any size leaves one row.
+    group found is carried, so a group of copies of any size leaves one row. With ``mark``
+    the members of groups of over FEW, and of all groups of keys in parts, come as links to themselves.
     """
     now, held = None, np.zeros((0, LANES), np.uint64)
+    ones, others = [], []
 
-    def linked(fps: np.ndarray) -> tuple[list, list, np.ndarray]:
-        return _wide_forest(fps) if len(fps) > 1 else ([], [], fps)
+    def link(fps: np.ndarray, crowd: int) -> np.ndarray:
+        if len(fps) < 2:
+            return fps
+        x, y, first, crowded = _wide_forest(fps, crowd)
+        ones.extend(x + crowded if mark else x)
+        others.extend(y + crowded if mark else y)
+        return first
 
     for batch in batches:
         keys = batch.column(0).to_numpy()
         fps = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
         edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else []
-        ones, others = [], []
-        single = np.diff(edge) == 1 if len(keys) else []
-        for a, b, alone in zip(edge, edge[1:], single, strict=False):
+        for a, b in zip(edge, edge[1:], strict=False):
             if keys[a] != now:
                 if len(held) > 1:
-                    x, y, _ = linked(held)
-                    ones += x
-                    others += y
+                    link(held, FEW)
                 now, held = keys[a], fps[a:b]
-                if alone or b - a <= MAX_BUCKET:
+                if b - a <= MAX_BUCKET:
                     continue
                 held = held[:0]
             for k in range(a, b, MAX_BUCKET):
-                x, y, held = linked(np.concatenate((held, fps[k : min(b, k + MAX_BUCKET)])))
-                ones += x
-                others += y
+                held = link(np.concatenate((held, fps[k : min(b, k + MAX_BUCKET)])), 1)
         if sum(map(len, ones)):
             yield _link_rows(ones, others)
-    x, y, _ = linked(held)
-    if sum(map(len, x)):
-        yield _link_rows(x, y)
+            ones.clear()
+            others.clear()
+    link(held, FEW)
+    if sum(map(len, ones)):
+        yield _link_rows(ones, others)
 
 
 def _link_rows(ones: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
@@ -410,12 +441,107 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _least_size(size: np.ndarray) -> np.ndarray:
+    """The members that a set alike to one of this size has at least, all of them shared."""
+    return np.ceil(SIMILARITY * size - 1e-6).astype(np.int64)
+
+
+def _rank_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): the shingles of a partition's sets, counted by RANKS cells."""
+    counts = np.zeros(RANKS, np.int64)
+    for batch in batches:
+        members = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        counts += np.bincount((members % _CELLS).astype(np.int64), minlength=RANKS)
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], names=["cell", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, size, place, node): the rarest shingles of each set, so many that sets alike share one."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        n = np.where(size > 0, size - _least_size(size) + 1, 0)
+        rare = [x[np.lexsort((x, counts[(x % _CELLS).astype(np.int64)]))[:k]] for x, k in zip(sets, n.tolist(), strict=True)]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(size, n)), pa.array(place), pa.array(np.repeat(batch.column(0).to_numpy(), n))], names=["key", "size", "place", "node"])
+
+
+def _sharing(partners: int | None):
+    """Pairs of different groups that share a key and could be alike, of a stream sorted by key and size.
+
+    By the sizes, and by how much can follow the first shared shingle. Of each row the
+    ``partners`` closest in size, or all. Rows of a key too small for what follows are let go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((5, 0), np.int64)
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            k = 0
+            while k < rows.shape[1]:
+                new = rows[:, k : k + max(1, min(512, (1 << 21) // (held.shape[1] + 512)))]
+                k += new.shape[1]
+                old = np.concatenate((held, new), axis=1)
+                before = np.arange(old.shape[1])[None, :] < held.shape[1] + np.arange(new.shape[1])[:, None]
+                i, j = np.nonzero(before & (old[0] == new[0][:, None]) & (old[4] != new[4][:, None]))
+                n, m = new[1][i], old[1][j]
+                follow = np.minimum(n - new[2][i], m - old[2][j])
+                good = (m >= _least_size(n)) & (follow >= SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-6)
+                i, j = i[good], j[good]
+                if partners is not None:
+                    close = np.searchsorted(i, i, "right") - np.arange(len(i)) <= partners
+                    i, j = i[close], j[close]
+                if len(i):
+                    x, y = new[3][i], old[3][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                held = old[:, (old[0] == new[0, -1]) & (old[1] >= _least_size(new[1, -1]))]
+
+    return run
+
+
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs of nodes whose sets are alike."""
+    sided = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return sided.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
+
+
+def _link_crowded(crowded: DataFrame, known: DataFrame, tested: DataFrame, alike: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) once every alike pair of crowded nodes is linked, by whatever way.
+
+    A group's tree proves what it connects only where all its links hold. So crowded nodes
+    are joined by shingles too: sets that share SIMILARITY share one of their rarest, in
+    whatever order that is the same for all. Groups that hold already are not
+    compared again; the closest go first, as each link found saves others.
+    """
+    spark = known.sparkSession
+    sets = materialize(known.join(crowded, "node", "left_semi"), "simhash-crowd-sets")
+    counts = np.zeros(RANKS, np.int64)
+    cells = sets.select("set").mapInArrow(_rank_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    table = spark.sparkContext.broadcast(counts)
+    keys = materialize(sets.select("node", "set").mapInArrow(lambda batches: _prefixes(batches, table.value), "key long, size long, place long, node long"), "simhash-crowd-keys")
+    roots = components(alike)
+    for partners in (FEW, None):
+        own = keys.join(roots, "node", "left").select("key", "size", "place", "node", F.coalesce("root", "node").alias("root"))
+        met = own.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_sharing(partners), "a long, b long").distinct()
+        new = materialize(met.join(tested, ["a", "b"], "left_anti"), "simhash-crowd-pairs")
+        more = materialize(alike.unionByName(_verified(new, known)), "simhash-alike")
+        discard(alike, roots)
+        alike, tested = more, tested.unionByName(new)
+        roots = components(alike)
+    discard(sets, keys)
+    return alike, roots
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of least id, null ids last.
 
     Near duplicates share SIMILARITY or more of their five-word shingles. Candidates are
     fingerprints of 128 bits that differ in at most WIDE_DISTANCE, met under any three of ten equal blocks
-    of either half; each is verified by the two texts' shingles. Texts without words are copies of each other. Of rows with equal id
+    of either half; each is verified by the two texts' shingles. Members of groups too crowded to verify
+    every pair are joined by their rarest shingles as well, which misses none. Texts without words are copies of each other. Of rows with equal id
     and text one stays; an empty table gives no rows; other columns may have any names.
     Only keys and fingerprints are shuffled; texts are not, but those of repeated ids.
     """
@@ -439,11 +565,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fps = own.groupBy(*_LANES).agg(least)
     fps = materialize(fps.withColumn("node", F.monotonically_increasing_id()), "simhash-fps")
     keyed = fps.select(*_LANES).mapInArrow(_wide_keys, f"key long, {lanes}").repartition("key").sortWithinPartitions("key", *_LANES)
-    met = materialize(keyed.mapInArrow(_wide_links, ", ".join(f"{x}{lane} long" for x in "ab" for lane in range(LANES))).distinct(), "simhash-links")
+    met = materialize(keyed.mapInArrow(lambda batches: _wide_links(batches, True), ", ".join(f"{x}{lane} long" for x in "ab" for lane in range(LANES))).distinct(), "simhash-links")
     ends = lambda x: fps.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{lane}") for lane, c in enumerate(_LANES)))
     paired = met.join(ends("a"), [f"a{n}" for n in range(LANES)]).join(ends("b"), [f"b{n}" for n in range(LANES)]).select("a", "b")
-    paired = materialize(paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    needed = paired.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(fps, "node").select("node", "least.t1", "least.t2")
+    pairs = materialize(paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    crowded = materialize(pairs.where("a = b").select(F.col("a").alias("node")), "simhash-crowded")
+    paired = pairs.where("a <> b")
+    needed = paired.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct().join(fps, "node").select("node", "least.t1", "least.t2")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,9 +581,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     texts = docs.select(*(t.alias(f"t{n}") for n, t in enumerate(tags, 1)), name(text_col).alias("text")).join(needed, ["t1", "t2"]).select("node", "text")
     known = materialize(texts.mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "simhash-sets")
-    alike = paired.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    roots = components(alike.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
-    discard(paired, known)
+    alike = materialize(_verified(paired, known), "simhash-alike")
+    alike, roots = (alike, components(alike)) if crowded.isEmpty() else _link_crowded(crowded, known, paired, alike)
+    discard(pairs, crowded, known, alike)
     rooted = fps.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = rooted.select("least.id", "least.t1", "least.t2")
     times = own.groupBy("id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1")

@@ -229,6 +229,10 @@ def test_links_of_crowded_keys(monkeypatch, bucket, few, many):
                 root[a] = root[b] = min(root[a], root[b])
         (want if name == "want" else got).update(root)
     assert want == got and len(set(want.values())) < len(want)
+    ends = [[c.to_numpy().view(np.uint64).tolist() for c in b.columns] for b in simhash._wide_links(iter(batches), mark=True)]
+    marked = {row[: simhash.LANES] for b in ends for row in zip(*b, strict=True) if row[: simhash.LANES] == row[simhash.LANES :]}
+    sizes = Counter(want.values())
+    assert marked >= {n[1:] for n in want if sizes[want[n]] > few}
 
 
 def test_keep_one(spark):
@@ -243,6 +247,44 @@ def test_keep_one(spark):
     assert {tuple(r[2:]) for r in simhash.keep_one(clash).collect()} == {("mine",) * 8}
 
 
+@pytest.mark.parametrize(("words_of", "changed"), [(300, 5), (120, 2)])
+def test_crowded_families(spark, words_of, changed):
+    """Many different texts of one template, on either side of 0.8: no link is lost."""
+    rng = random.Random(words_of)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words_of)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(changed):
+            w[rng.randrange(words_of)] = f"z{rng.randrange(5000)}"
+        texts.append(" ".join(w))
+    roots = similar_groups(texts)
+    assert 1 < len(set(roots)) < len(texts)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, enumerate(texts))).collect()) == sorted(set(roots))
+
+
+def test_rarest_shingles_join():
+    """Every alike pair shares one of its rarest shingles and passes the bounds, whatever ranks them."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(1, 60), False), rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)))) for _ in range(300)]
+    sets += [base[:1], np.zeros(0, np.uint64), np.unique(base)]
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) > 0
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if alike(sets[i], sets[j])}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([x.tobytes() for x in sets])], names=["node", "set"])
+    counts = np.zeros(simhash.RANKS, np.int64)
+    for b in simhash._rank_counts(iter([batch.select(["set"])])):
+        counts[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    assert counts.sum() == sum(map(len, sets))
+    for ranks in (counts, np.zeros_like(counts)):
+        keys = pa.Table.from_batches(simhash._prefixes(iter([batch]), ranks))
+        keys = keys.append_column("root", keys["node"]).sort_by([(c, "ascending") for c in ("key", "size", "node")])
+        got = {p for b in simhash._sharing(None)(iter(keys.to_batches(max_chunksize=37))) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        assert len(want) > 20 and want <= got
+        few = [b for b in simhash._sharing(2)(iter(keys.to_batches(max_chunksize=37)))]
+        assert 0 < sum(len(b) for b in few) <= 2 * len(keys)
+
+
 # -- packing ---------------------------------------------------------------------------
 
 
