@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, fresh, materialize
@@ -257,6 +257,8 @@ WIDE_DISTANCE = 26
 SIMILARITY = 0.8
 #: Fingerprints of one group of which every close pair is verified; those of one key of which trees are least.
 FEW, MANY = 16, 256
+#: Links between crowded members that are verified before their shingles are joined, for each.
+NEAREST = 8
 #: Counters of the table that ranks shingles by how common they are; it settles an order only.
 RANKS = 1 << 20
 _CELLS = np.uint64(RANKS)
@@ -349,14 +351,14 @@ def _wide_trees(fps: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.
     return np.array(lone, np.int64), trees
 
 
-def _wide_forest(fps: np.ndarray, crowd: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """Links among distinct fingerprints, one of each connected group, and the members of
-    groups of over ``crowd``.
+def _wide_forest(fps: np.ndarray, crowd: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Links among distinct fingerprints, whether their group is over ``crowd``, one of each
+    connected group, and the members of groups of over ``crowd``.
 
     Of a group of FEW every pair within the distance, of a larger one its tree.
     """
     lone, trees = _wide_trees(fps)
-    ones, others, crowded = [], [], []
+    ones, others, within, crowded = [], [], [], []
     for at, by in trees:
         own = fps[at]
         if len(at) <= FEW:
@@ -366,9 +368,10 @@ def _wide_forest(fps: np.ndarray, crowd: int) -> tuple[list[np.ndarray], list[np
         else:
             ones.append(fps[by[1:]])
             others.append(own[1:])
+        within.append(np.full(len(ones[-1]), len(at) > crowd))
         if len(at) > crowd:
             crowded.append(own)
-    return ones, others, fps[np.concatenate((lone, [at[0] for at, _ in trees])).astype(np.int64)], crowded
+    return ones, others, within, fps[np.concatenate((lone, [at[0] for at, _ in trees])).astype(np.int64)], crowded
 
 
 def _wide_links(batches: Iterator[pa.RecordBatch], mark: bool = False) -> Iterator[pa.RecordBatch]:
@@ -378,15 +381,22 @@ def _wide_links(batches: Iterator[pa.RecordBatch], mark: bool = False) -> Iterat
     group found is carried, so a group of copies of any size leaves one row. With ``mark``
     the members of groups of over FEW, and of all groups of keys in parts, come as links to themselves.
     """
+    for batch in _told_links(batches, mark):
+        yield batch.select(batch.schema.names[:-1])
+
+
+def _told_links(batches: Iterator[pa.RecordBatch], mark: bool = True) -> Iterator[pa.RecordBatch]:
+    """Those links, and of each whether its group's members were marked."""
     now, held = None, np.zeros((0, LANES), np.uint64)
-    ones, others = [], []
+    ones, others, within = [], [], []
 
     def link(fps: np.ndarray, crowd: int) -> np.ndarray:
         if len(fps) < 2:
             return fps
-        x, y, first, crowded = _wide_forest(fps, crowd)
+        x, y, told, first, crowded = _wide_forest(fps, crowd)
         ones.extend(x + crowded if mark else x)
         others.extend(y + crowded if mark else y)
+        within.extend(told + [np.ones(len(c), bool) for c in crowded] if mark else told)
         return first
 
     for batch in batches:
@@ -404,18 +414,41 @@ def _wide_links(batches: Iterator[pa.RecordBatch], mark: bool = False) -> Iterat
             for k in range(a, b, MAX_BUCKET):
                 held = link(np.concatenate((held, fps[k : min(b, k + MAX_BUCKET)])), 1)
         if sum(map(len, ones)):
-            yield _link_rows(ones, others)
+            yield _link_rows(ones, others, within)
             ones.clear()
             others.clear()
+            within.clear()
     link(held, FEW)
     if sum(map(len, ones)):
-        yield _link_rows(ones, others)
+        yield _link_rows(ones, others, within)
 
 
-def _link_rows(ones: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
+def _link_rows(ones: list[np.ndarray], others: list[np.ndarray], within: list[np.ndarray]) -> pa.RecordBatch:
     a, b = np.concatenate(ones).view(np.int64), np.concatenate(others).view(np.int64)
     columns = [pa.array(np.ascontiguousarray(x[:, lane])) for x in (a, b) for lane in range(LANES)]
-    return pa.RecordBatch.from_arrays(columns, names=[f"{x}{lane}" for x in "ab" for lane in range(LANES)])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(within))], names=[*_ENDS, "crowded"])
+
+
+_ENDS = [f"{x}{lane}" for x in "ab" for lane in range(LANES)]
+
+
+def _closest(linked: DataFrame) -> DataFrame:
+    """All links, but of those between two crowded members the NEAREST of each fingerprint.
+
+    A large group is parted otherwise under every key, which makes up to 240 trees and many
+    small groups of its members. They are joined by their rarest shingles whatever is
+    linked here, so no link between two of them is needed; the closest, which are the
+    likeliest to hold, save that join most of its pairs.
+    """
+    lanes = {x: [f"{x}{n}" for n in range(LANES)] for x in "ab"}
+    apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(lanes["a"], lanes["b"], strict=True))
+    told = linked.withColumn("apart", apart).withColumn("own", F.col("apart") == 0)
+    marked = {x: F.max("own").over(Window.partitionBy(*lanes[x])) for x in "ab"}
+    loose = told.where(~F.col("crowded") | F.col("own")).withColumn("in_a", marked["a"]).withColumn("in_b", marked["b"])
+    loose = loose.withColumn("spare", F.col("in_a") & F.col("in_b") & ~F.col("own")).drop("in_a", "in_b")
+    both = loose.unionByName(told.where(F.col("crowded") & ~F.col("own")).withColumn("spare", F.lit(True)))
+    place = F.row_number().over(Window.partitionBy(*lanes["b"], "spare").orderBy("apart", *lanes["a"]))
+    return both.withColumn("place", place).where(~F.col("spare") | (F.col("place") <= NEAREST)).select(*_ENDS)
 
 
 def shingle_sets(texts: pa.Array, a: int, b: int, shingle: int = WIDE_SHINGLE) -> list[bytes]:
@@ -541,7 +574,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Near duplicates share SIMILARITY or more of their five-word shingles. Candidates are
     fingerprints of 128 bits that differ in at most WIDE_DISTANCE, met under any three of ten equal blocks
     of either half; each is verified by the two texts' shingles. Members of groups too crowded to verify
-    every pair are joined by their rarest shingles as well, which misses none. Texts without words are copies of each other. Of rows with equal id
+    every pair are joined by their rarest shingles, which misses none; only their closest are verified before. Texts without words are copies of each other. Of rows with equal id
     and text one stays; an empty table gives no rows; other columns may have any names.
     Only keys and fingerprints are shuffled; texts are not, but those of repeated ids.
     """
@@ -565,7 +598,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fps = own.groupBy(*_LANES).agg(least)
     fps = materialize(fps.withColumn("node", F.monotonically_increasing_id()), "simhash-fps")
     keyed = fps.select(*_LANES).mapInArrow(_wide_keys, f"key long, {lanes}").repartition("key").sortWithinPartitions("key", *_LANES)
-    met = materialize(keyed.mapInArrow(lambda batches: _wide_links(batches, True), ", ".join(f"{x}{lane} long" for x in "ab" for lane in range(LANES))).distinct(), "simhash-links")
+    linked = materialize(keyed.mapInArrow(_told_links, ", ".join(f"{x} long" for x in _ENDS) + ", crowded boolean").groupBy(*_ENDS).agg(F.max("crowded").alias("crowded")), "simhash-linked")
+    met = materialize(_closest(linked), "simhash-links")
+    discard(linked)
     ends = lambda x: fps.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{lane}") for lane, c in enumerate(_LANES)))
     paired = met.join(ends("a"), [f"a{n}" for n in range(LANES)]).join(ends("b"), [f"b{n}" for n in range(LANES)]).select("a", "b")
     pairs = materialize(paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")

@@ -263,6 +263,29 @@ def test_crowded_families(spark, words_of, changed):
     assert sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, enumerate(texts))).collect()) == sorted(set(roots))
 
 
+def test_links_of_a_large_family(spark, monkeypatch):
+    """A family's candidates are a few for each member, whatever keys it meets under, and no link is lost."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(5000)}"
+        texts.append(" ".join(w))
+    counts, write = {}, simhash.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        counts.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, enumerate(texts))).collect())
+    assert kept == sorted(set(similar_groups(texts))) and len(kept) < len(texts)
+    assert counts["simhash-crowded"] > 250 and counts["simhash-links"] <= 10 * len(texts)
+
+
 def test_rarest_shingles_join():
     """Every alike pair shares one of its rarest shingles and passes the bounds, whatever ranks them."""
     rng = np.random.default_rng(3)
