@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import os
 import random
+import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,53 @@ def test_keep_good(spark):
     assert kept.columns == docs.columns and kept.count() == good
 
 
+def all_pairs(x, y):
+    """Mean, scale and weights over all pairs, by plain Newton steps."""
+    z = quality.expand(x)
+    mean, scale = z.mean(axis=0), z.std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = (z - mean) / scale
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(np.clip(d @ w, -700, 700)))
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(len(w)), d.T @ p / len(d) - quality.RIDGE * w)
+        w += step * min(1, 1 / np.abs(step).max())
+    return mean, scale, w
+
+
+def ranked_rows(spark, n):
+    """Short texts of n rows, a third of label 0, neither told apart wholly nor all alike."""
+    rng = random.Random(n)
+    rows, labels = [], []
+    for k in range(n):
+        words = [rng.choice(["the", "of", "Lamp,", "river", "stone.", "walks", "x9", "a#b"]) + "s" * rng.randrange(4) for _ in range(rng.randint(3, 30))]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(rng.random() < (0.35 if any("#" in w for w in words) else 0.9))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    used = [zlib.crc32(str(k).encode()) % 5 != 0 for k in range(n)]
+    texts = pa.array([t for (_, t), u in zip(rows, used, strict=True) if u])
+    y = np.array([v for (_, v), u in zip(labels, used, strict=True) if u])
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int"), quality.features(texts, 0, len(texts)), y
+
+
+def test_ranking_fits_all_pairs(spark):
+    docs, labels, x, y = ranked_rows(spark, 400)
+    model = quality.train(docs, labels)
+    for got, want in zip(model[:3], all_pairs(x, y), strict=True):
+        assert np.allclose(got, want, rtol=0, atol=1e-6)
+
+
+def test_ranking_takes_every_labelled_row(spark):
+    """Means and threshold are those of all rows, of any number."""
+    docs, labels, x, y = ranked_rows(spark, 18_000)
+    assert (y == 1).sum() > 6000
+    model = quality.train(docs, labels)
+    assert np.allclose(model.mean, quality.expand(x).mean(axis=0), rtol=0, atol=1e-9)
+    s, bad = np.sort(model.strength(x)), int((y == 0).sum())
+    assert math.isclose(model.threshold, (s[bad - 1] + s[bad]) / 2, abs_tol=1e-9)
+
+
 # -- vectors ---------------------------------------------------------------------------
 
 
