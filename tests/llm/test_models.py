@@ -406,6 +406,16 @@ def similar(a, b):
 # -- pipeline --------------------------------------------------------------------------
 
 
+def test_good_quality_by_every_labelled_row(spark, tmp_path):
+    """What the first stage lets go of the rows learned from is as many as have label 0, of any number."""
+    import corpus_pipeline as C
+
+    docs, labels, _, y = ranked_rows(spark, 18_000)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    used = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
+    assert C.good_quality(spark, docs, str(tmp_path)).where(used).count() == (y == 1).sum() > 6000
+
+
 @tables
 def test_pipeline(spark):
     import corpus_pipeline as C
