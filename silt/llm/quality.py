@@ -106,9 +106,9 @@ def expand(x: np.ndarray) -> np.ndarray:
 
 
 def _logistic(d: np.ndarray) -> list[np.ndarray]:
-    """The logistic and its first ORDER + 1 derivatives, as polynomials of itself."""
+    """The logistic and its first ORDER derivatives, as polynomials of itself."""
     p, poly, out = 1 / (1 + np.exp(-np.clip(d, -700, 700))), np.array([0.0, 1.0]), []
-    for _ in range(ORDER + 2):
+    for _ in range(ORDER + 1):
         out.append(np.polynomial.polynomial.polyval(p, poly))
         poly = np.polynomial.polynomial.polymul(np.polynomial.polynomial.polyder(poly), [0, 1, -1])
     return out
@@ -148,19 +148,24 @@ def _gathered(y: np.ndarray, s: np.ndarray, z: np.ndarray) -> tuple:
 
 def _against(own: np.ndarray, bins: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """For each bin of ``own``: the derivatives, by minus its strength, of the summed logistic
-    of how far those of the other class in ``bins`` are above it."""
+    of how far those of the other class in ``bins`` are above it; last the first of them with
+    all rows at their bins' middles."""
     out = np.zeros((len(own), ORDER + 2))
     for k in range(0, len(own), 256):
         f = _logistic((bins[None, :] - own[k : k + 256, None]) * BIN)
-        for m in range(ORDER + 2):
-            for power in range(max(1, ORDER + 1 - m)):
-                if m + power < len(f):
-                    out[k : k + 256, m] += f[m + power] @ sums[:, power]
+        for m in range(ORDER + 1):
+            for power in range(ORDER + 1 - m):
+                out[k : k + 256, m] += f[m + power] @ sums[:, power]
+        out[k : k + 256, ORDER + 1] = f[1] @ sums[:, 0]
     return out
 
 
 def _pulled(y: np.ndarray, s: np.ndarray, z: np.ndarray, tables: tuple) -> dict:
-    """A block's part of the gradient, and of the squares in the curvature."""
+    """A block's part of the gradient, and of the squares in the curvature.
+
+    The curvature takes all rows at their bins' middles, squares and products alike: so it is a
+    sum over pairs, each to a fifteenth what it is, and steps close in on the minimum.
+    """
     slope, curve = np.zeros(z.shape[1]), np.zeros((z.shape[1], z.shape[1]))
     for c, (bins, table) in enumerate(tables):
         sign = 1 if c else -1  # seen from label 0, strengths count downwards
@@ -169,7 +174,7 @@ def _pulled(y: np.ndarray, s: np.ndarray, z: np.ndarray, tables: tuple) -> dict:
         at = np.where(np.abs(bins[at - 1] - u) < np.abs(bins[np.minimum(at, len(bins) - 1)] - u), at - 1, np.minimum(at, len(bins) - 1))
         row = table[at]
         slope -= sign * ((row[:, : ORDER + 1] * _powers((bins[at] - u) * BIN)).sum(axis=1) @ own)
-        curve += (own * row[:, 1, None]).T @ own
+        curve += (own * row[:, ORDER + 1, None]).T @ own
     return {"slope": slope, "curve": curve}
 
 

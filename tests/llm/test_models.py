@@ -121,6 +121,20 @@ def test_ranking_fits_all_pairs(spark):
         assert np.allclose(got, want, rtol=0, atol=1e-6)
 
 
+def test_ranking_of_copies_fits_all_pairs():
+    """Few texts, each often copied, and few rows of label 0: the steps end at the minimum all the same."""
+    for seed in (4, 9, 15, 19, 39, 40):
+        rng = random.Random(seed)
+        texts = [" ".join(rng.choice(["the", "Lamp,", "river", "stone.", "x9", "a#b"]) + "s" * rng.randrange(4) for _ in range(rng.randint(3, 30))) for _ in range(5)]
+        x = np.repeat(quality.features(pa.array(texts), 0, len(texts)), 40, axis=0)
+        for few in (1, 2, 3):
+            y = np.ones(len(x), int)
+            y[rng.sample(range(len(x)), few)] = 0
+            model = quality.fit(quality.blocks((y[:100], x[:100]), (y[100:], x[100:])))
+            for got, want in zip(model[:3], all_pairs(x, y), strict=True):
+                assert np.allclose(got, want, rtol=0, atol=1e-6)
+
+
 def test_ranking_takes_every_labelled_row(spark):
     """Means and threshold are those of all rows, of any number."""
     docs, labels, x, y = ranked_rows(spark, 18_000)
